@@ -1,0 +1 @@
+"""Nothing streams here: assembly works on finite read sets, and its graph loops are batch fix-points."""
