@@ -1,13 +1,16 @@
 """Whole-text tokenisation in Arrow batches with the tokenizers library.
 
-A text is cut into chunks at places where the tokenizer's own pre-tokeniser always cuts, so the ids of a
-text are the ids of its chunks in a row. Chunks repeat, so each worker keeps the ids of recent ones.
+A text of plain letters is cut into words by the tokenizer's own pattern; words repeat, so each worker keeps the
+ids that the tokenizer's model gave for recent ones. Other texts are first cut into chunks where the pattern always cuts,
+and chunks with other letters go through the whole tokenizer, which normalises them.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,40 +23,90 @@ BARE = r"\S+"
 _ODD = "\x1c\x1d\x1e\x1f"
 
 
-class ChunkEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+#: A character from U+0300 on. Below, letters have no combining marks and lower case is the same in every library.
+_OTHER = re.compile("[^\x00-\u02ff]").search
+# Fixed value: the words of the byte-level pre-tokeniser.
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else the next from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def plain_pattern(pattern: str) -> str:
+    """The pattern with \\p{L} and \\p{N} spelled out for the letters below U+0300, which the re module matches faster."""
+    out, inside, at = [], False, 0
+    named = {rf"\p{{{k}}}": re.escape("".join(chr(c) for c in range(0x300) if unicodedata.category(chr(c))[0] == k)) for k in "LN"}
+    while at < len(pattern):
+        part = pattern[at : at + 5]
+        if part in named:
+            out.append(named[part] if inside else f"[{named[part]}]")
+            at += 5
+            continue
+        inside = pattern[at] == "[" or inside and pattern[at] != "]"
+        out.append(pattern[at])
+        at += 1
+    return "".join(out)
+
+
+class _WordIds(dict):
+    """Ids of words as bytes, asked of the tokenizer's model when first needed."""
 
-    MAX_CACHED = 400_000
+    MAX = 700_000
     MAX_KEY = 64
 
+    def __init__(self, model):
+        super().__init__()
+        self._tokenize = model.tokenize
+        self._letters = byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        found = self._tokenize(word.encode().decode("latin-1").translate(self._letters))
+        ids = b"".join([t.id.to_bytes(4, "little") for t in found])
+        if len(word) <= self.MAX_KEY:
+            if len(self) >= self.MAX:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+class ChunkEncoder:
+    """Ids of texts as little-endian unsigned 32-bit bytes."""
+
     def __init__(self, path: str, chunks: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._find = re.compile(chunks).findall
-        self._cache: dict[str, bytes] = {}
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        self._chunks = re.compile(chunks).findall
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        self._lower = "Lowercase" in str(made["normalizer"])
+        steps = (made["pre_tokenizer"] or {}).get("pretokenizers") or [made["pre_tokenizer"]]
+        self._words = re.compile(plain_pattern(steps[0].get("pattern", {}).get("Regex", _BYTE_LEVEL))).findall
+        self._ids = _WordIds(self._tokenizer.model)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self._ids.__getitem__, self._words(text.lower() if self._lower else text)))
+
+    def _one(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if any(c in text for c in _ODD):
+            return self._whole(text)
+        if text.isascii() or not _OTHER(text):
+            return self._plain(text)
+        return b"".join([self._whole(c) if _OTHER(c) else self._plain(c) for c in self._chunks(text)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cache = self._cache
-        cut = [[] if not t else None if any(c in t for c in _ODD) else self._find(t) for t in texts]
-        needed = set().union(*(c for c in cut if c))
-        missing = needed.difference(cache)
-        if len(cache) + len(missing) > self.MAX_CACHED:
-            cache.clear()
-            missing = needed
-        new = list(missing)
-        cache.update(zip(new, self._encode(new), strict=True))
-        out = [self._encode([t])[0] if c is None else b"".join(map(cache.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
-        for piece in new:
-            if len(piece) > self.MAX_KEY:
-                del cache[piece]
-        return out
+        return [self._one(t) for t in texts]
 
 
 _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
