@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import langid, matroska, packing, simhash, token_orc
+from helixframe.llm import langid, matroska, packing, sharding, simhash, substring, token_orc, urlfilter
 from helixframe.storage import new_path, table
 
 
@@ -15,6 +15,29 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
+# The rules of the page filter.
+RULES = [
+    urlfilter.Rule("allow", "org/"),
+    urlfilter.Rule("block", "example.org/es/"),
+    urlfilter.Rule("block", "example.org/en/1"),
+    urlfilter.Rule("allow", "com/fr/"),
+    urlfilter.Rule("block", "com/de/"),
+]
+
+
+def op2_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = urlfilter.parsed(table(spark, sf_dir, "pages"), RULES)
+    return urlfilter.judge(pages, RULES, urlfilter.fit(urlfilter.labelled(pages, RULES)))
+
+
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed", "removed")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
     model = langid.fit(docs.filter("not held_out"))
@@ -47,5 +70,5 @@ def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_langid, op6_simhash, op7_token_orc, op8_matroska)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_urlfilter, op3_substring, op4_sharding, op5_langid, op6_simhash, op7_token_orc, op8_matroska)}
+ORACLES = {"op4_sharding": sharding.oracle()}
