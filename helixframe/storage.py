@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch at most, since a row may hold a whole text.
+BATCH_ROWS = 1000
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -41,8 +43,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package also where the driver only extended sys.path."""
+    """Before Python tasks: small Arrow batches, and workers that import this package also where the driver only extended sys.path."""
     env = spark.sparkContext.environment
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, env.get("PYTHONPATH", "")]))
 
