@@ -55,7 +55,7 @@ def plain_pattern(pattern: str) -> str:
 class _WordIds(dict):
     """Ids of words as bytes, asked of the tokenizer's model when first needed."""
 
-    MAX = 700_000
+    MAX = 400_000
     MAX_KEY = 64
 
     def __init__(self, model):
