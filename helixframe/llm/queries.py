@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import langid, matroska, packing, sharding, simhash, substring, token_orc, urlfilter
+from helixframe.llm import langid, matroska, packing, piece_fst, sharding, simhash, substring, token_orc, urlfilter, vptree
 from helixframe.storage import new_path, table
 
 
@@ -70,5 +70,21 @@ def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_urlfilter, op3_substring, op4_sharding, op5_langid, op6_simhash, op7_token_orc, op8_matroska)}
+def op9_piece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = piece_fst.decode(piece_fst.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return coded.select("doc_id", n_tokens, F.crc32("ids").alias("ids_crc32"), F.crc32("decoded").alias("decoded_crc32"), F.coalesce(F.col("decoded") == F.col("text"), F.lit(False)).alias("same"))
+
+
+#: How far branches are pruned; on sf0.1 the recall is 1.00 at 4 and 0.97 at 6.
+RELAX = 4.0
+
+
+def op10_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = vptree.usable(table(spark, sf_dir, "embeddings"))
+    return vptree.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20, relax=RELAX)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_urlfilter, op3_substring, op4_sharding, op5_langid, op6_simhash, op7_token_orc, op8_matroska, op9_piece_fst, op10_vptree)}
 ORACLES = {"op4_sharding": sharding.oracle()}
