@@ -66,12 +66,12 @@ def _shards(keyed: DataFrame, buckets: DataFrame) -> DataFrame:
     """Each row meets the bucket that its key starts with, by equality on depth and prefix for the depths that occur."""
     depths = sorted(r.depth for r in buckets.select("depth").distinct().collect())  # 49 at most
     name = F.when(F.col("depth") > 0, F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("depth"), F.lit("0"))).otherwise("")
-    named = buckets.select(F.col("depth"), F.col("prefix"), name.alias("shard"), "shard_bytes")
+    named = buckets.select(F.col("depth").alias("__depth"), F.col("prefix").alias("__prefix"), name.alias("__shard"), F.col("shard_bytes").alias("__bytes"))
     if len(depths) <= 1:
-        tried = keyed.withColumn("depth", F.lit(depths[0] if depths else 0))
+        tried = keyed.withColumn("__depth", F.lit(depths[0] if depths else 0))
     else:
-        tried = keyed.withColumn("depth", F.explode(F.array(*map(F.lit, depths))))
-    return tried.withColumn("prefix", _prefix(F.col("depth"))).join(named, ["depth", "prefix"])
+        tried = keyed.withColumn("__depth", F.explode(F.array(*map(F.lit, depths))))
+    return tried.withColumn("__prefix", _prefix(F.col("__depth"))).join(named, ["__depth", "__prefix"])
 
 
 def assign(docs: DataFrame, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -79,14 +79,14 @@ def assign(docs: DataFrame, limit: int = LIMIT, doc_id: str = "doc_id", text: st
     rows = _keyed(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")), "doc_id", "text").drop("text")
     keyed = stage(rows, "keys")
     found = _shards(keyed, directory(keyed.select("__key", "__size"), limit))
-    return found.select("doc_id", "shard", "depth", F.col("__size").alias("n_bytes"), "shard_bytes")
+    return found.select("doc_id", F.col("__shard").alias("shard"), F.col("__depth").alias("depth"), F.col("__size").alias("n_bytes"), F.col("__bytes").alias("shard_bytes"))
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the rows as Parquet, a folder a shard, and return the directory."""
     keyed = stage(_keyed(docs, doc_id, text), "keyed")
     buckets = directory(keyed.select("__key", "__size"), limit)
-    out = _shards(keyed, buckets).select(*docs.columns, F.concat(F.lit("b"), "shard").alias("__shard"))
+    out = _shards(keyed, buckets).select(*docs.columns, F.concat(F.lit("b"), "__shard").alias("__shard"))
     out.repartition("__shard").write.partitionBy("__shard").parquet(path)
     return buckets
 

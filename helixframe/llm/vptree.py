@@ -125,7 +125,7 @@ def index(rows: DataFrame, k: int, shards: int) -> DataFrame:
     """(dim, shard, tree): a tree over the distinct vectors of each shard, with the k + 1 smallest ids of each."""
     prepare(rows.sparkSession)
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key, pdf):
         x = np.stack(pdf["x"].to_list()).astype(float) + 0.0  # -0.0 becomes 0.0
         ids = pdf["vec_id"].to_numpy()
         unique, group = np.unique(x, axis=0, return_inverse=True)
@@ -161,7 +161,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, relax: float = 1
     block = F.pmod(F.xxhash64("x", "vec_id"), F.lit(blocks)).cast("int")
     asked = queries.distinct().withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("query_key", F.xxhash64("x"))
 
-    def probe(_, trees: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def probe(_, trees, asked):
         rows = []
         if len(trees) and len(asked):
             x = np.stack(asked["x"].to_list()).astype(float)
