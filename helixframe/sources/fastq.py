@@ -5,15 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixframe.storage import stage
+
+#: Blocks of files whose line offsets are broadcast; beyond, they are joined.
+MAX_BROADCAST = 100_000
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(file, read_id, seq): the second line of each record of four; names and qualities are dropped.
 
-    A file is split into records as a whole, since its lines have no other number; many files are read in parallel.
+    Files are split as Spark splits them. A first pass counts the lines of each block of a file; the lines of the blocks
+    before, plus a line's place in its block, number it, so no file is read by one task alone.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("line", "seq"))
-    return lines.filter("line % 4 = 1").select("file", (F.col("line") / 4).cast("long").alias("read_id"), F.rtrim(F.lit("\r"), F.col("seq")).alias("seq"))
+    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value").withColumn("__n", F.monotonically_increasing_id())
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("__n").alias("__first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = stage(blocks.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__shift")), "blocks")
+    if starts.count() <= MAX_BROADCAST:
+        starts = F.broadcast(starts)
+    line = F.col("__n") + F.col("__shift")
+    numbered = lines.join(starts, ["file", "block"]).withColumn("line", line)
+    return numbered.filter("line % 4 = 1").select("file", F.expr("line div 4").alias("read_id"), F.regexp_replace("value", "\r$", "").alias("seq"))
 
 
 def put_fastq(spark: SparkSession, source: str, target: str) -> None:
