@@ -31,13 +31,15 @@ def run(
     stop: Callable[[int, dict[str, Any]], bool] = lambda step, found: False,
     phases: int | Callable[[int, DataFrame], bool] = 1,
     max_supersteps: int = 1000,
+    report: list[tuple[int, int, int, int]] | None = None,
 ) -> DataFrame:
     """The vertices (id, state columns, active) when no vertex is active and no message is under way, or stop() says so.
 
     compute gets the vertices that are active or have messages, with their combined messages (null without), the superstep from
     1, and the aggregates of the step before; it returns them with new state and active. send gets what compute returned and
     gives messages (dst, ...), of which those to unknown ids are dropped. phases: so many times, or while the function of the
-    phase from 1 and the vertices is true, all vertices are woken and the supersteps start anew.
+    phase from 1 and the vertices is true, all vertices are woken and the supersteps start anew. report: gets (phase, superstep,
+    partition, messages) rows.
     """
     if "active" not in vertices.columns:
         vertices = vertices.withColumn("active", F.lit(True))
@@ -59,6 +61,9 @@ def run(
             if aggregators:
                 found = updated.agg(*(c.alias(n) for n, c in aggregators.items())).first().asDict()
             messages = stage(send(updated, step), "messages")
+            if report is not None:
+                sent = messages.groupBy(F.spark_partition_id().alias("p")).count().orderBy("p").collect()  # a row a partition
+                report.extend((phase, step, p, n) for p, n in sent)
             state = stage(updated.unionByName(idle), "vertices")
             if stop(step, found) or (messages.isEmpty() and state.filter("active").isEmpty()):
                 break

@@ -12,7 +12,12 @@ from helixframe.storage import stage
 
 
 class Assembly:
-    """Each step as a table, computed once when first needed. by_components takes groups from connected components instead of ranking."""
+    """Each step as a table, computed once when first needed; write() keeps them, and load() goes on from kept ones.
+
+    ranks and components are two ways to the same groups; contigs are built from ranks, which have the order too.
+    """
+
+    TABLES = ("kplus", "vertices", "ranks", "contigs", "filtered", "graph", "groups")
 
     def __init__(self, reads: DataFrame, parameters: Parameters = Parameters(), seq: str = "seq", wrap256: bool = False, emit_isolated: bool = False):
         self.reads, self.p, self.seq, self.wrap256, self.emit_isolated = reads, parameters, seq, wrap256, emit_isolated
@@ -68,3 +73,18 @@ class Assembly:
     @cached_property
     def sequences(self) -> DataFrame:
         return simplify.merge(self.filtered, *self.pruned, self.groups, self.k, self.p.output_contig_t, self.emit_isolated)
+
+    def write(self, path: str) -> None:
+        """The tables as Parquet folders of these names, with the graph and vertices left after tips, replacing older ones."""
+        for name in self.TABLES:
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        for name, part in zip(("pruned_graph", "pruned_states"), self.pruned, strict=True):
+            part.write.mode("overwrite").parquet(f"{path}/{name}")
+
+    def load(self, path: str) -> Assembly:
+        """Take the tables from where write() has put them; reads are not needed then."""
+        spark = self.reads.sparkSession
+        for name in self.TABLES:
+            self.__dict__[name] = spark.read.parquet(f"{path}/{name}")
+        self.__dict__["pruned"] = tuple(spark.read.parquet(f"{path}/{name}") for name in ("pruned_graph", "pruned_states"))
+        return self

@@ -69,6 +69,12 @@ def test_strand_and_order_of_reads_do_not_matter(spark, sample):
     assert strandless(assembly(spark, reads).sequences.collect()) == strandless(sample.sequences.collect())
 
 
+def test_kept_tables_go_on(spark, sample, tmp_path):
+    sample.write(str(tmp_path))
+    again = Assembly(spark.createDataFrame([], "seq string"), sample.p).load(str(tmp_path))
+    assert strandless(again.sequences.collect()) == strandless(sample.sequences.collect())
+
+
 def test_split_short_and_homopolymer_reads(spark):
     a = assembly(spark, ["ACGTTNNACG", "AAAAAAAA", "", None, "acgtt", "ACXGTTA"])
     assert {(r.kp1, r.cnt) for r in a.kplus.collect()} == {("AACGT", 2)}

@@ -112,5 +112,7 @@ def test_pregel_phases_and_plain_messages(spark):
         to = F.explode(F.array(F.lit(1), F.lit(2), F.lit(77)).cast("array<long>"))
         return df.select(to.alias("dst"), F.col("id").alias("sender")) if step == 1 else df.select(F.col("id").alias("dst"), F.col("id").alias("sender")).limit(0)
 
-    assert {r.id: r.n for r in pregel.run(v, compute, send, phases=3).collect()} == {1: 6, 2: 6}
+    report = []
+    assert {r.id: r.n for r in pregel.run(v, compute, send, phases=3, report=report).collect()} == {1: 6, 2: 6}
+    assert sum(n for *_, n in report) == 3 * 6 and {(p, s) for p, s, *_ in report} == {(1, 1), (2, 1), (3, 1)}
     assert {r.id: r.n for r in pregel.run(v, compute, send, phases=lambda number, state: number == 1).collect()} == {1: 2, 2: 2}
