@@ -26,34 +26,45 @@ from helixframe.llm.tokens import blocks
 from helixframe.storage import prepare, stage
 
 RUN, MIN_WORDS, LONG, ENDLESS = 2, 16, 12, 24
-_END = re.compile(r"[.!?…。！？]+[^\w\s]*(?:\s+|$)|\s*\n\s*")
-_COMMA = re.compile(r"[,;:][^\w\s]*\s+")
+#: Ends of sentences, and places inside them to cut long ones.
+_CUT = re.compile(r"(?P<end>[.!?…。！？]+[^\w\s]*(?:\s+|$)|\n\s*)|[,;:][^\w\s]*[^\S\n]+").finditer
 _WORD = re.compile(r"[^\W_]+").findall
 _SPACED_WORD = re.compile(r"([^\W_]+)[^\w\s]*\s+").finditer
 _NEVER = (1 << 63) - 1
 
 
-def _cuts(text: str, pattern: re.Pattern, start: int, end: int) -> list[int]:
-    return [m.end() for m in pattern.finditer(text, start, end) if m.end() < end] + [end]
-
-
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of each sentence with its trailing white space; the ranges cover the text."""
-    out = []
-    start = 0
-    for end in _cuts(text, _END, 0, len(text)):
-        words = _WORD(text[start:end].lower())
-        if len(words) > LONG:
-            for cut in _cuts(text, _COMMA, start, end):
-                part = _WORD(text[start:cut].lower())
-                out += _by_words(text, start, cut) if len(part) > ENDLESS else [(start, cut, part)]
-                start = cut
-        else:
-            out.append((start, end, words))
-        start = end
+    out: list[tuple[int, int, list[str]]] = []
+    parts: list[tuple[int, int, list[str]]] = []
+    start = count = 0
+    for m in _CUT(text):
+        words = _WORD(text[start : m.end()].lower())
+        parts.append((start, m.end(), words))
+        start = m.end()
+        count += len(words)
+        if m.lastgroup:
+            _close(text, parts, count, out)
+            parts, count = [], 0
+    if start < len(text):
+        words = _WORD(text[start:].lower())
+        parts.append((start, len(text), words))
+        count += len(words)
+    if parts:
+        _close(text, parts, count, out)
     return out
 
 
+def _close(text: str, parts: list, count: int, out: list) -> None:
+    if len(parts) == 1 and count <= ENDLESS:
+        out.append(parts[0])
+    elif count <= LONG:
+        out.append((parts[0][0], parts[-1][1], [w for p in parts for w in p[2]]))
+    else:
+        for p in parts:
+            out.extend(_by_words(text, *p[:2]) if len(p[2]) > ENDLESS else [p])
+
+
 def _by_words(text: str, start: int, end: int) -> list[tuple[int, int, list[str]]]:
     """A range cut after each word whose CRC-32 is divisible by 8, so equal words are cut alike wherever they stand."""
     cuts = [m.end() for m in _SPACED_WORD(text, start, end) if crc32(m[1].lower().encode("utf-8", "surrogatepass")) % 8 == 0 and m.end() < end]
