@@ -87,8 +87,26 @@ class Model:
         return cls(pieces, trainer.get(3, UNIGRAM), bool(normal.get(3, 1)), bool(normal.get(4, 1)), bool(normal.get(5, 1)))
 
 
+class _Units(dict):
+    """Ids of units as bytes, found when first needed."""
+
+    MAX, MAX_LENGTH = 600_000, 48
+
+    def __init__(self, find):
+        super().__init__()
+        self._find = find
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self._find(unit)
+        if len(unit) <= self.MAX_LENGTH:
+            if len(self) >= self.MAX:
+                self.clear()
+            self[unit] = found
+        return found
+
+
 class Transducer:
-    MAX_CACHED, MAX_UNIT = 400_000, 48
+    MAX_PAIRS, MAX_MERGED = 400_000, 200
 
     def __init__(self, model: Model):
         self.model = model
@@ -112,7 +130,7 @@ class Transducer:
                 node = node.setdefault(c, {})
             node[""] = p
         self._follows: dict[tuple[str, str], bool] = {}
-        self._units: dict[str, bytes] = {}
+        self._units = _Units(self.unit)
         self.cut = self._cutter()
 
     def _cutter(self) -> re.Pattern:
@@ -151,7 +169,7 @@ class Transducer:
         key = (u, v)
         known = self._follows.get(key)
         if known is None:
-            if len(self._follows) >= self.MAX_CACHED:
+            if len(self._follows) >= self.MAX_PAIRS:
                 self._follows.clear()
             known = self._follows[key] = self.merged(u + v) == ([u, v] if u else [v])
         return known
@@ -184,31 +202,68 @@ class Transducer:
             j -= len(last[j])
         return out[::-1]
 
+    def _from(self, unit: str, i: int) -> list[str]:
+        """Pieces that start at a place, shorter ones first; a character without a piece stands for itself."""
+        node, out, j = self.trie, [], i
+        while j < len(unit) and (node := node.get(unit[j])) is not None:
+            j += 1
+            p = node.get("")
+            if p is not None:
+                out.append(p)
+        if i < len(unit) and (not out or len(out[0]) > 1):
+            out.insert(0, unit[i])
+        return out
+
+    def only_path(self, unit: str) -> list[str]:
+        """The one path that the composition with a BPE model accepts, and so its shortest, without weighing any other.
+
+        Longer arcs are tried first. A place is reached by one accepted path at most, so a place that led nowhere stays closed.
+        """
+        n, closed = len(unit), set()
+        path: list[str] = []
+        places, arcs = [0], [self._from(unit, 0)]
+        known = self._follows
+        while places[-1] < n:
+            u, i, todo = path[-1] if path else "", places[-1], arcs[-1]
+            while todo:
+                p = todo.pop()
+                j = i + len(p)
+                if j in closed:
+                    continue
+                ok = known.get((u, p))
+                if ok if ok is not None else self.follows(u, p):
+                    path.append(p)
+                    places.append(j)
+                    arcs.append(self._from(unit, j))
+                    break
+            else:
+                closed.add(i)
+                places.pop()
+                arcs.pop()
+                path.pop()
+        return path
+
     def _emit(self, pieces: list[str]) -> bytes:
         out = []
         for p in pieces:
-            if p in self.ids:
-                out.append(self.ids[p])
+            known = self.ids.get(p)
+            if known is not None:
+                out.append(known)
             elif self.bytes:
                 out += [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")]
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
-        return np.array(out, "<u4").tobytes()
+        return struct.pack(f"<{len(out)}I", *out)
 
     def unit(self, unit: str) -> bytes:
-        known = self._units.get(unit)
-        if known is None:
-            tie = self.tied and self.model.kind == BPE and SPACE * 2 in unit
-            known = self._emit(self.merged(unit) if tie and len(unit) <= 4 * self.MAX_UNIT else self.shortest(unit))
-            if len(unit) <= self.MAX_UNIT:
-                if len(self._units) >= self.MAX_CACHED:
-                    self._units.clear()
-                self._units[unit] = known
-        return known
+        if self.model.kind != BPE:
+            return self._emit(self.shortest(unit))
+        tie = self.tied and SPACE * 2 in unit
+        return self._emit(self.merged(unit) if tie and len(unit) <= self.MAX_MERGED else self.only_path(unit))
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes."""
-        return b"".join(map(self.unit, self.cut.findall(self.normalise(text)))) if text else b""
+        return b"".join(map(self._units.__getitem__, self.cut.findall(self.normalise(text)))) if text else b""
 
     def decode(self, ids: bytes | None) -> str:
         """The transducer read backwards: bytes gather to characters, marks become spaces, and the dummy prefix goes."""

@@ -49,7 +49,7 @@ def test_shortest_path_equals_merges_without_units():
     rng = random.Random(9)
     for _ in range(300):
         s = "▁" + "▁".join("".join(rng.choice("etaonirsh.") for _ in range(rng.randrange(1, 12))) for _ in range(3))
-        assert fst.shortest(s) == fst.merged(s)
+        assert fst.shortest(s) == fst.merged(s) == fst.only_path(s)
 
 
 def test_op9(spark, sf):
