@@ -1,4 +1,8 @@
-"""Counting canonical (k+1)-mers, the edges of the de Bruijn graph."""
+"""Counting canonical (k+1)-mers, the edges of the de Bruijn graph.
+
+Work is done once a read where it can be: splitting at letters that are no bases, and the reverse complement, from which the
+other strand of each window is cut. What remains a window is two substrings and a comparison in generated code.
+"""
 
 from __future__ import annotations
 
@@ -13,16 +17,23 @@ def split_reads(reads: DataFrame, seq: str = "seq") -> DataFrame:
     return reads.select(F.explode(S.fragments(F.upper(seq))).alias("seq"))
 
 
+def _places(reads: DataFrame, k: int, seq: str) -> DataFrame:
+    """(seq, rc, n, i): each start of a window in the parts of a read that have only bases; so no window has other letters."""
+    parts = reads.select(F.explode(F.split(F.upper(seq), "[^ACGT]")).alias("seq")).filter(F.length("seq") > k)
+    both = parts.select("seq", S.revcomp("seq").alias("rc"), F.length("seq").alias("n"))
+    return both.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n") - k)))
+
+
 def kplus_windows(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """(s): every window of k + 1 bases; windows with other letters are dropped."""
-    long = split_reads(reads, seq).filter(F.length("seq") > k)
-    return long.select(F.explode(S.windows("seq", k + 1)).alias("s")).filter(F.col("s").rlike("^[ACGT]+$"))
+    """(s): every window of k + 1 bases."""
+    return _places(reads, k, seq).select(F.substr("seq", "i", F.lit(k + 1)).alias("s"))
 
 
 def canonical_kplus(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """(kp1): canonical windows without homopolymers, which would be loops."""
-    own = kplus_windows(reads, k, seq).select(S.canonical("s").alias("kp1"))
-    return own.filter(~S.is_homopolymer("kp1"))
+    """(kp1): canonical windows without homopolymers, which would be loops; the canonical ones are those of A and C."""
+    other = F.substr("rc", F.col("n") - F.col("i") - F.lit(k - 1), F.lit(k + 1))
+    own = _places(reads, k, seq).select(F.least(F.substr("seq", "i", F.lit(k + 1)), other).alias("kp1"))
+    return own.filter((F.col("kp1") != "A" * (k + 1)) & (F.col("kp1") != "C" * (k + 1)))
 
 
 def count_kplus(reads: DataFrame, k: int, freq_t: int = 1, wrap256: bool = False, seq: str = "seq") -> DataFrame:
@@ -31,4 +42,3 @@ def count_kplus(reads: DataFrame, k: int, freq_t: int = 1, wrap256: bool = False
     if wrap256:
         counted = counted.withColumn("cnt", F.col("cnt") % 256)
     return counted.filter(F.col("cnt") >= freq_t)
-
