@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Every round only groups and joins by node, so no component is gathered anywhere; each is written to the shared
-folder. A round of both steps at least halves the distance to stars in practice; the loop ends when a round
-changes no edge, and then every node hangs on the smallest node of its component.
+Every round only groups and joins by node, so no component is gathered anywhere. The smallest neighbours are written to the
+shared folder before edges are joined to them: then both sides of the join are plain shuffles, which adaptive execution splits
+where a node has very many edges. The loop ends when a round changes no edge, and then every node hangs on the smallest node of
+its component.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from helixframe.storage import stage
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = stage(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -36,7 +37,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = stage(pairs.distinct(), "components")
     mark = _mark(now)
     while mark[0]:
-        now = stage(_small_star(_large_star(now)), "components")
+        now = stage(_small_star(stage(_large_star(now), "components")), "components")
         before, mark = mark, _mark(now)
         if mark == before:
             break
