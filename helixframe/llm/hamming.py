@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.storage import prepare
+from helixframe.storage import prepare, stage
 
 SAMPLE = 1500
 #: Microseconds for a row dealt to a bucket, and for a pair compared.
@@ -154,7 +154,8 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def in_blocks(rows: DataFrame, keys: list[str], item, limit: int) -> DataFrame:
     """Adds b1, b2: rows of a group of over `limit` are copied to all pairs of blocks that hold their own block."""
-    large = rows.groupBy(*keys).count().filter(F.col("count") > limit).withColumn("k", F.ceil(F.col("count") / limit).cast("int")).drop("count")
+    counted = rows.groupBy(*keys).count().filter(F.col("count") > limit)
+    large = stage(counted.withColumn("k", F.ceil(F.col("count") / limit).cast("int")).drop("count"), "large")
     k = F.coalesce("k", F.lit(1))
     own = F.pmod(F.xxhash64(item), k).cast("int")
     dealt = rows.join(large, keys, "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))

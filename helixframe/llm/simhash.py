@@ -86,8 +86,8 @@ def components(docs: DataFrame, tau: int = 3, shingle: int = 3, doc_id: str = "d
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that links within tau bits lead to."""
     prints = stage(fingerprints(docs, shingle, doc_id=doc_id, text=text).drop("text_key"), "fingerprints")
     groups = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "groups")
-    rooted = groups.join(_roots(groups.select("fp"), tau), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    rooted = stage(groups.join(_roots(groups.select("fp"), tau), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    least = stage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -172,8 +172,8 @@ def similar(docs: DataFrame, tau: int = 8, shingle: int = 5, similarity: float =
     ids = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     texts = stage(prints.groupBy("text_key", "fp").agg(F.min(ids).alias("first")), "texts")
     roots = stage(_roots(texts.select("fp").distinct(), tau), "roots")
-    rooted = texts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    several = rooted.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
+    rooted = stage(texts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    several = stage(rooted.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root"), "several")
     candidates = rooted.join(several, "root").select("text_key", "first", "root")
     rows = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit((1 << 63) - 1)).alias("first"), F.coalesce(docs[text], F.lit("")).alias("text")).withColumn("text_key", F.md5("text"))
     dealt = hamming.in_blocks(stage(candidates, "candidates"), ["root"], "text_key", BLOCK)
@@ -181,8 +181,8 @@ def similar(docs: DataFrame, tau: int = 8, shingle: int = 5, similarity: float =
     full = dealt.join(rows, ["text_key", "first"]).select(*cols, "text_key", "text")
     checked = full.repartition(*cols).sortWithinPartitions(*cols, "text_key").mapInArrow(_verify(shingle, similarity), "a string, b string")
     found = connected_components(checked, "a", "b")
-    named = texts.join(found, texts["text_key"] == found["node"], "left").select("text_key", "first", F.coalesce("root", "text_key").alias("root"))
-    least = named.groupBy("root").agg(F.min(F.struct("first", "text_key")).alias("least"))
+    named = stage(texts.join(found, texts["text_key"] == found["node"], "left").select("text_key", "first", F.coalesce("root", "text_key").alias("root")), "named")
+    least = stage(named.groupBy("root").agg(F.min(F.struct("first", "text_key")).alias("least")), "least")
     labels = named.join(least, "root").select("text_key", F.col("least.first").alias("component_id"), F.col("least.text_key").alias("kept_key"))
     out = prints.select("doc_id", "text_key").distinct().join(labels, "text_key")
     return out.select("doc_id", "text_key", F.nullif("component_id", F.lit((1 << 63) - 1)).alias("component_id"), "kept_key")
