@@ -1,8 +1,9 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked within a Hamming distance, grouped by connection.
 
-components() gives the groups of fingerprints alone. similar() takes them as candidates only and holds each link
-against the exact Jaccard similarity of word shingles, inside groups of candidates; there a document is compared
-with ones that share a rare enough shingle with it and are not yet reached, so copies are never compared all with all.
+components() gives the groups of fingerprints alone. similar() finds all links of a Jaccard similarity of word shingles.
+Fingerprints give a first set of candidates, and each link is held against the exact similarity inside groups of candidates;
+there a document is compared with ones that share a rare enough shingle with it and are not yet reached, so copies are never
+compared all with all. What these groups leave apart then meets by an equi-join of prefixes, which loses no pair.
 
 Defined results: null text is empty, and empty texts are equal to each other; ids may repeat or be null (a null id
 counts as larger than any other, and a group of null ids only has a null component_id); rows that repeat id and text
@@ -17,7 +18,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm import hamming
@@ -28,6 +29,10 @@ from helixframe.storage import prepare, stage
 SEED = 42
 #: Texts of a group of candidates that one task verifies; larger groups are split into blocks, and tasks take pairs of blocks.
 BLOCK = 4000
+#: Shingles that prefixes of similar texts share at least, if their sets have so many.
+SHARED = 4
+#: Texts in which frequent shingles are counted, texts of those that hold a frequent one at least, and frequent ones kept at most.
+SAMPLE, FREQUENT, MOST = 10_000, 3, 50_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -162,30 +167,140 @@ def _verify(shingle: int, similarity: float):
     return run
 
 
+def members(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingles of a text as sorted hashes; 0 alone for a text without words."""
+    own = words(text)
+    return np.unique(hashes(shingles(own, shingle))) if own else np.zeros(1, np.uint64)
+
+
+def least_shared(n: int, similarity: float) -> int:
+    """Members that a set of n shares with any similar one at least."""
+    return max(1, ceil(similarity * n - 1e-9))
+
+
+def prefix(own: np.ndarray, frequent: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """(first members in the order infrequent before frequent, then by value; how many of them a similar set's prefix shares).
+
+    With the same frequent (sorted) for all sets, two similar sets share the smaller of their numbers at least.
+    """
+    at = np.minimum(np.searchsorted(frequent, own), max(len(frequent) - 1, 0))
+    common = frequent[at] == own if len(frequent) else np.zeros(len(own), bool)
+    overlap = least_shared(len(own), similarity)
+    need = min(SHARED, overlap)
+    return np.concatenate([own[~common], own[common]])[: len(own) - overlap + need], need
+
+
+def _members(shingle: int):
+    def run(batches):
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                yield pa.record_batch([pa.array(members(t, shingle).view(np.int64))], names=["h"])
+
+    return run
+
+
+def _frequent(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
+    """Sorted hashes of the shingles that many of some texts hold; any choice gives the same links."""
+    body = F.coalesce(docs[text], F.lit("")).alias("text")
+    every = max(1, -(-docs.count() // SAMPLE))
+    some = docs.select(body).filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
+    counts = some.mapInArrow(_members(shingle), "h long").groupBy("h").count().filter(F.col("count") >= FREQUENT)
+    found = counts.orderBy(F.col("count").desc(), "h").limit(MOST).select("h").toPandas()
+    return np.sort(found["h"].to_numpy(np.int64).view(np.uint64))
+
+
+def _prefixes(shingle: int, similarity: float, frequent: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            texts, rest = batch.column("text").to_pylist(), batch.drop_columns(["text"])
+            for part in blocks(texts):
+                fps, sizes, needs, firsts = [], [], [], []
+                for t in texts[part]:
+                    own = members(t, shingle)
+                    first, need = prefix(own, frequent, similarity)
+                    fps.append(fingerprint(hashes(set(words(t)))))
+                    sizes.append(len(own))
+                    needs.append(need)
+                    firsts.append(first.view(np.int64))
+                rows = rest.slice(part.start, len(fps))
+                ends = pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32())
+                columns = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(needs, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(firsts)))]
+                yield pa.record_batch([*rows.columns, *columns], names=[*rows.schema.names, "fp", "size", "need", "prefix"])
+
+    return run
+
+
+def _apart(texts: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): keys of all texts in different groups of found (node, root) that may be similar; from (key, size, need, prefix)."""
+    dealt = texts.select("key", "size", "need", F.explode("prefix").alias("h"))
+    n = F.count("*").over(Window.partitionBy("h"))
+    shared = stage(dealt.withColumn("n", n).filter("n > 1").drop("n"), "shared")
+    roots = found.select(F.xxhash64("node").alias("key"), F.xxhash64("root").alias("root"))
+    rooted = stage(shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
+    mixed = stage(rooted.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("h"), "mixed")
+    rows = stage(rooted.join(mixed, "h"), "rows")
+    x, y = (rows.select("h", *(F.col(c).alias(c + e) for c in ("key", "root", "size", "need"))) for e in ("1", "2"))
+    near = (F.col("root1") < F.col("root2")) & (F.least("size1", "size2") >= F.greatest("size1", "size2") * similarity - 1e-6)
+    pairs = x.join(y, "h").filter(near).groupBy("key1", "key2").agg(F.count("*").alias("n"), F.first(F.least("need1", "need2")).alias("need"))
+    return pairs.filter("n >= need").select(F.col("key1").alias("a"), F.col("key2").alias("b"))
+
+
+def _check(shingle: int, similarity: float):
+    def run(batches):
+        last, own = None, frozenset()
+        for batch in batches:
+            out = []
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text1", "text2")), strict=True):
+                if a != last:
+                    last, own = a, frozenset(members(x, shingle).tolist())
+                other = members(y, shingle).tolist()
+                both = len(own.intersection(other))
+                if both >= similarity * (len(own) + len(other) - both):
+                    out.append((a, b))
+            if out:
+                yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return run
+
+
 def similar(docs: DataFrame, tau: int = 8, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_key, component_id, kept_key): groups of documents of that Jaccard similarity or more, one row an id and text.
 
-    Candidates have fingerprints of their sets of words within tau bits: single words keep near copies closer than
-    shingles do, and the exact check rules out what only shares its words. The document to keep has component_id and kept_key.
+    The first candidates have fingerprints of their sets of words within tau bits: single words keep near copies closer than
+    shingles do, and the exact check rules out what only shares its words. Texts of different groups that share enough of
+    their prefixes are then checked one by one, so tau bears on speed alone. The document to keep has component_id and kept_key.
     """
-    prints = stage(fingerprints(docs, 1, distinct=True, doc_id=doc_id, text=text), "fingerprints")
-    ids = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    prepare(docs.sparkSession)
+    never = F.lit((1 << 63) - 1)
+    body = F.coalesce(docs[text], F.lit(""))
+    read = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.md5(body).alias("text_key"), body.alias("text"))
+    kinds = "doc_id long, text_key string, fp long, size int, need int, prefix array<long>"
+    prints = stage(read.mapInArrow(_prefixes(shingle, similarity, _frequent(docs, text, shingle)), kinds), "fingerprints")
+    ids = F.coalesce("doc_id", never)
     texts = stage(prints.groupBy("text_key", "fp").agg(F.min(ids).alias("first")), "texts")
     roots = stage(_roots(texts.select("fp").distinct(), tau), "roots")
     rooted = stage(texts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     several = stage(rooted.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root"), "several")
     candidates = rooted.join(several, "root").select("text_key", "first", "root")
-    rows = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit((1 << 63) - 1)).alias("first"), F.coalesce(docs[text], F.lit("")).alias("text")).withColumn("text_key", F.md5("text"))
+    rows = read.select(F.coalesce("doc_id", never).alias("first"), "text", "text_key")
     dealt = hamming.in_blocks(stage(candidates, "candidates"), ["root"], "text_key", BLOCK)
     cols = ["root", "b1", "b2"]
     full = dealt.join(rows, ["text_key", "first"]).select(*cols, "text_key", "text")
-    checked = full.repartition(*cols).sortWithinPartitions(*cols, "text_key").mapInArrow(_verify(shingle, similarity), "a string, b string")
-    found = connected_components(checked, "a", "b")
+    checked = stage(full.repartition(*cols).sortWithinPartitions(*cols, "text_key").mapInArrow(_verify(shingle, similarity), "a string, b string"), "checked")
+    once = prints.groupBy("text_key").agg(*(F.first(c).alias(c) for c in ("size", "need", "prefix")))
+    pairs = stage(_apart(once.select(F.xxhash64("text_key").alias("key"), "size", "need", "prefix"), connected_components(checked, "a", "b"), similarity), "pairs")
+    keys = stage(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "keys")
+    wanted = texts.select("text_key", "first", F.xxhash64("text_key").alias("key")).join(keys, "key")
+    bodies = stage(rows.join(wanted, ["text_key", "first"]).dropDuplicates(["text_key"]).select("key", "text_key", "text"), "bodies")
+    x, y = (bodies.select(F.col("key").alias(p), F.col("text_key").alias(k), F.col("text").alias(t)) for p, k, t in (("a", "key1", "text1"), ("b", "key2", "text2")))
+    sides = pairs.join(x, "a").join(y, "b").select(F.col("key1").alias("a"), F.col("key2").alias("b"), "text1", "text2")
+    links = stage(sides.sortWithinPartitions("a").mapInArrow(_check(shingle, similarity), "a string, b string"), "links")
+    found = connected_components(checked.union(links), "a", "b")
     named = stage(texts.join(found, texts["text_key"] == found["node"], "left").select("text_key", "first", F.coalesce("root", "text_key").alias("root")), "named")
     least = stage(named.groupBy("root").agg(F.min(F.struct("first", "text_key")).alias("least")), "least")
     labels = named.join(least, "root").select("text_key", F.col("least.first").alias("component_id"), F.col("least.text_key").alias("kept_key"))
     out = prints.select("doc_id", "text_key").distinct().join(labels, "text_key")
-    return out.select("doc_id", "text_key", F.nullif("component_id", F.lit((1 << 63) - 1)).alias("component_id"), "kept_key")
+    return out.select("doc_id", "text_key", F.nullif("component_id", never).alias("component_id"), "kept_key")
 
 
 def drop_similar(docs: DataFrame, tau: int = 8, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -113,6 +113,39 @@ def test_drop_similar_against_all_pairs(spark, sf):
     assert want <= got and len(got) <= len(want) + 1  # a link may have words that differ by more than the fingerprints allow
 
 
+@pytest.mark.parametrize("frequent", [3, 10**9])
+def test_drop_similar_loses_no_link_of_any_edit(spark, monkeypatch, frequent):
+    monkeypatch.setattr(simhash, "FREQUENT", frequent)
+    rng = random.Random(11)
+    line = " ".join(f"common{i}" for i in range(30))
+    rows = []
+    for i in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([1, 4, 6, 9, 24, 60, 200, 700]))]
+        n = len(base)
+        tail = [f"x{rng.randrange(10**6)}" for _ in range(max(1, int(n * rng.uniform(0.1, 0.24))))]
+        changed = [w if rng.random() > 0.02 else "other" for w in base]
+        for own in (base, base + tail, tail + base, base[: n - int(n * rng.uniform(0.1, 0.19))], changed):
+            rows.append((len(rows), " ".join(own) + (f" {line}" if i % 3 == 0 else "")))
+    texts = dict(rows)
+    pairs = [(a, b) for a in texts for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    want = groups_of(pairs, list(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {i: simhash.fingerprint(simhash.hashes(set(simhash.words(t)))) for i, t in rows}
+    assert any((prints[a] ^ prints[b]).bit_count() > 8 for a, b in pairs)
+    assert {r.doc_id: r.component_id for r in simhash.similar(df).collect()} == want
+
+
+def test_prefixes_of_similar_sets_share_enough():
+    rng = random.Random(6)
+    for _ in range(300):
+        base = rng.sample(range(1, 10**6), rng.randrange(1, 60))
+        a, b = (np.unique(np.array(rng.sample(base, max(1, len(base) - rng.randrange(4))), np.uint64)) for _ in range(2))
+        both = len(np.intersect1d(a, b))
+        if both >= 0.8 * (len(a) + len(b) - both):
+            (x, m), (y, n) = (simhash.prefix(s, np.sort(np.array(base[::3], np.uint64)), 0.8) for s in (a, b))
+            assert len(np.intersect1d(x, y)) >= min(m, n)
+
+
 def test_drop_similar_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 3)
     base = [f"w{i}" for i in range(200)]
