@@ -1,8 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences; a sentence of over LONG words is cut further after commas, semicolons and colons, and what
-then still has over ENDLESS words at words chosen by their hash, since a passage may stand inside a run of words without an end. From
-every sentence runs the shortest span with at least `run` sentences and `min_words` words; its words, lower-cased
+A text is cut into sentences, and long ones into pieces, by winnowing: each WINDOW neighbouring words are cut at their best
+place, which is an end of a sentence, else a comma, semicolon or colon, else after the word of the smallest hash; the last of
+equals. So a piece has at most WINDOW words, and whether a place is cut depends on WINDOW - 1 words to each side only: texts
+that share 3 * WINDOW words share a span, wherever these stand. From every piece, below also called sentence, runs the shortest span with at least `run` sentences and `min_words` words; its words, lower-cased
 and without what stands around them, are hashed to 128 bits. Spans meet by hash over the whole corpus; all but the
 first of equal spans (by document id, then text hash, then place) are repeats, and sentences that a repeat covers are removed.
 
@@ -14,7 +15,8 @@ few sentences or words for a span is never removed; an empty table gives no rows
 from __future__ import annotations
 
 import re
-from itertools import pairwise
+from collections import deque
+from functools import lru_cache
 from zlib import crc32
 
 import pyarrow as pa
@@ -25,50 +27,72 @@ from pyspark.sql import functions as F
 from helixframe.llm.tokens import blocks
 from helixframe.storage import prepare, stage
 
-RUN, MIN_WORDS, LONG, ENDLESS = 2, 16, 12, 24
-#: Ends of sentences, and places inside them to cut long ones.
-_CUT = re.compile(r"(?P<end>[.!?…。！？]+[^\w\s]*(?:\s+|$)|\n\s*)|[,;:][^\w\s]*[^\S\n]+").finditer
+RUN, MIN_WORDS, WINDOW = 2, 16, 16
+#: Ends of sentences, and places inside them to cut long ones, between two words.
+_CUT = re.compile(r"(?P<end>[.!?…。！？]+[^\w\s]*\s+|\n\s*)|[,;:][^\w\s]*[^\S\n]+").finditer
+_SPACE = re.compile(r"[^\w\s]*\s+").match
 _WORD = re.compile(r"[^\W_]+").findall
-_SPACED_WORD = re.compile(r"([^\W_]+)[^\w\s]*\s+").finditer
+_WORD_AND_GAP = re.compile(r"([^\W_]+)([\W_]*)").findall
+_END, _COMMA, _SPACED, _INNER = range(4)
 _NEVER = (1 << 63) - 1
 
 
-def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of each sentence with its trailing white space; the ranges cover the text."""
-    out: list[tuple[int, int, list[str]]] = []
-    parts: list[tuple[int, int, list[str]]] = []
-    start = count = 0
-    for m in _CUT(text):
-        words = _WORD(text[start : m.end()].lower())
-        parts.append((start, m.end(), words))
-        start = m.end()
-        count += len(words)
-        if m.lastgroup:
-            _close(text, parts, count, out)
-            parts, count = [], 0
-    if start < len(text):
-        words = _WORD(text[start:].lower())
-        parts.append((start, len(text), words))
-        count += len(words)
-    if parts:
-        _close(text, parts, count, out)
+@lru_cache(10_000)
+def _place(gap: str) -> tuple[int, int]:
+    """(kind, offset) of the best cut in what stands between two words, the last of equals."""
+    found = [(_END if m.lastgroup else _COMMA, m.end()) for m in _CUT(gap)]
+    if found:
+        return min(found, key=lambda f: (f[0], -f[1]))
+    space = _SPACE(gap)
+    return (_SPACED, space.end()) if space else (_INNER, len(gap))
+
+
+def _cuts(words: list[str], kinds: list[int]) -> list[int]:
+    """The places, each after the word of that number, that are best in some WINDOW places; all ends are."""
+    out: list[int] = []
+    end = mark = -1  # last end, last end or comma
+    for at in [i for i, kind in enumerate(kinds) if kind <= _COMMA] + [len(words)]:
+        if mark > end and at - end > WINDOW:
+            out.append(mark)
+        if at - mark > WINDOW:
+            best: deque[tuple[tuple[bool, int], int]] = deque()
+            for i in range(mark + 1, at):
+                value = kinds[i] == _INNER, crc32(words[i].encode("utf-8", "surrogatepass"))
+                while best and best[-1][0] >= value:
+                    best.pop()
+                best.append((value, i))
+                if best[0][1] <= i - WINDOW:
+                    best.popleft()
+                if i - mark >= WINDOW and (not out or out[-1] != best[0][1]):
+                    out.append(best[0][1])
+        if at < len(words):
+            mark = at
+            if kinds[at] == _END:
+                end = at
+                out.append(at)
     return out
 
 
-def _close(text: str, parts: list, count: int, out: list) -> None:
-    if len(parts) == 1 and count <= ENDLESS:
-        out.append(parts[0])
-    elif count <= LONG:
-        out.append((parts[0][0], parts[-1][1], [w for p in parts for w in p[2]]))
-    else:
-        for p in parts:
-            out.extend(_by_words(text, *p[:2]) if len(p[2]) > ENDLESS else [p])
-
-
-def _by_words(text: str, start: int, end: int) -> list[tuple[int, int, list[str]]]:
-    """A range cut after each word whose CRC-32 is divisible by 8, so equal words are cut alike wherever they stand."""
-    cuts = [m.end() for m in _SPACED_WORD(text, start, end) if crc32(m[1].lower().encode("utf-8", "surrogatepass")) % 8 == 0 and m.end() < end]
-    return [(a, b, _WORD(text[a:b].lower())) for a, b in pairwise([start, *cuts, end])]
+def sentences(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of each piece with what stands behind it; the ranges cover the text."""
+    pairs = _WORD_AND_GAP(text)
+    if not pairs:
+        return [(0, len(text), [])] if text else []
+    places = [_place(gap) if len(gap) < 100 else _place.__wrapped__(gap) for _, gap in pairs]
+    words = [w.lower() for w, _ in pairs]
+    at = len(text) - sum(len(w) + len(gap) for w, gap in pairs)  # of the first word
+    ends = []
+    for (w, gap), (_, offset) in zip(pairs, places):
+        ends.append(at + len(w) + offset)
+        at += len(w) + len(gap)
+    out = []
+    start = first = 0
+    for i in _cuts(words, [kind for kind, _ in places]):
+        if i < len(words) - 1:
+            out.append((start, ends[i], words[first : i + 1]))
+            start, first = ends[i], i + 1
+    out.append((start, len(text), words[first:]))
+    return out
 
 
 def spans(own: list[tuple[int, int, list[str]]], run: int, min_words: int) -> list[tuple[int, int, int, int]]:

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from urllib.parse import quote
 
@@ -196,6 +197,30 @@ def test_planted_passages_go_and_the_rest_stays(spark):
         assert "Word2 of the passage" not in got[i] and got[i].startswith(clean[i]) and got[i].endswith(clean[i])
 
 
+@pytest.mark.parametrize("ends", ["", ".", ".,;", ".,"])
+def test_shared_runs_of_fifty_words_share_a_span(ends):
+    rng = random.Random(9)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 7))) + (rng.choice(ends) if ends and rng.random() < 0.1 else "") for _ in range(n))
+
+    for n in [50, 51, 60, 80] * 100:
+        passage = prose(n)
+        a, b = ([s[:2] for s in substring.spans(substring.sentences(f"{prose(rng.randrange(40))} {passage} {prose(rng.randrange(40))}"), substring.RUN, substring.MIN_WORDS)] for _ in range(2))
+        assert set(a) & set(b)
+
+
+def test_pieces_are_the_best_places_of_all_windows():
+    rng = random.Random(12)
+    for _ in range(300):
+        pairs = [(rng.choice("abcdefghijklmnopqrstuvwxyz"), rng.choice([" ", " ", " ", " ", "-", ", ", ". "])) for _ in range(rng.randrange(1, 70))]
+        value = [({". ": (0, 0), ", ": (1, 0)}.get(g) or (2 + (g == "-"), zlib.crc32(w.encode()))) for w, g in pairs]
+        size = substring.WINDOW
+        want = {i for i, v in enumerate(value) if v == (0, 0)} | {min(range(a, a + size), key=lambda i: (value[i], -i)) for a in range(len(pairs) - size + 1)}
+        cuts = [sum(len(w) + len(g) for w, g in pairs[: i + 1]) for i in sorted(want - {len(pairs) - 1})]
+        assert [e for _, e, _ in substring.sentences("".join(w + g for w, g in pairs))][:-1] == cuts
+
+
 def test_substring_odd_rows(spark):
     long = "Some sentence with enough words to make a span of its own here. " * 3000
     rows = [(None, PASSAGE), (3, None), (4, ""), (5, PASSAGE), (5, PASSAGE), (6, long), (7, "x" * 50_000)]
