@@ -29,10 +29,18 @@ from helixframe.storage import prepare, stage
 
 RUN, MIN_WORDS, WINDOW = 2, 16, 16
 #: Ends of sentences, and places inside them to cut long ones, between two words.
-_CUT = re.compile(r"(?P<end>[.!?…。！？]+[^\w\s]*\s+|\n\s*)|[,;:][^\w\s]*[^\S\n]+").finditer
+_CUT = re.compile(
+    r"(?P<end>[.!?…。！？｡]+[^\w\s]*\s+|\n\s*|[.!?…]*[。！？｡]+[」』）】》〉”’)\"']*\s*)|[,;:][^\w\s]*[^\S\n]+|[，、；：､]+[」』）】》〉”’)\"']*[^\S\n]*"
+).finditer
 _SPACE = re.compile(r"[^\w\s]*\s+").match
-_WORD = re.compile(r"[^\W_]+").findall
+#: Scripts without spaces (Thai to Khmer, kana, Han), of which each letter counts as a word.
+_UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_LETTERS = rf"[^\W_{_UNSPACED}]+|(?![\W_])[{_UNSPACED}]"
+_WORD = re.compile(_LETTERS).findall
 _WORD_AND_GAP = re.compile(r"([^\W_]+)([\W_]*)").findall
+#: The same with letters of scripts without spaces, for texts that may have some.
+_LETTER_AND_GAP = re.compile(rf"({_LETTERS})([\W_]*)").findall
+_HIGH = re.compile("[\u0e00-\U0010ffff]").search
 _END, _COMMA, _SPACED, _INNER = range(4)
 _NEVER = (1 << 63) - 1
 
@@ -75,7 +83,7 @@ def _cuts(words: list[str], kinds: list[int]) -> list[int]:
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of each piece with what stands behind it; the ranges cover the text."""
-    pairs = _WORD_AND_GAP(text)
+    pairs = (_LETTER_AND_GAP if _HIGH(text) else _WORD_AND_GAP)(text)
     if not pairs:
         return [(0, len(text), [])] if text else []
     places = [_place(gap) if len(gap) < 100 else _place.__wrapped__(gap) for _, gap in pairs]

@@ -221,6 +221,17 @@ def test_pieces_are_the_best_places_of_all_windows():
         assert [e for _, e, _ in substring.sentences("".join(w + g for w, g in pairs))][:-1] == cuts
 
 
+def test_scripts_without_spaces(spark):
+    han = "今天天气很好，我们一起去公园散步。路上遇见了许多老朋友！"
+    assert len(substring.sentences(han * 6)) == 12 and len(substring.spans(substring.sentences(han * 6), substring.RUN, substring.MIN_WORDS)) >= 10
+    assert [w for s in substring.sentences("ab漢字 cd") for w in s[2]] == ["ab", "漢", "字", "cd"]
+    passage = han + "昨日は雨が降ったので、家で本を読みました。「明日は晴れるでしょう。」と母が言いました。"
+    rows = [(i, f"{o * 5}。{passage}{o}終") for i, o in enumerate("甲乙丙")]
+    got = {r.doc_id: r.text for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1]
+    assert all("公园" not in got[i] and "雨" not in got[i] and got[i].startswith(rows[i][1][:5]) and got[i].endswith("終") for i in (1, 2))
+
+
 def test_substring_odd_rows(spark):
     long = "Some sentence with enough words to make a span of its own here. " * 3000
     rows = [(None, PASSAGE), (3, None), (4, ""), (5, PASSAGE), (5, PASSAGE), (6, long), (7, "x" * 50_000)]
