@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from itertools import count
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -30,7 +31,7 @@ def run(
     aggregators: Mapping[str, Column] | None = None,
     stop: Callable[[int, dict[str, Any]], bool] = lambda step, found: False,
     phases: int | Callable[[int, DataFrame], bool] = 1,
-    max_supersteps: int = 1000,
+    max_supersteps: int | None = None,
     report: list[tuple[int, int, int, int]] | None = None,
 ) -> DataFrame:
     """The vertices (id, state columns, active) when no vertex is active and no message is under way, or stop() says so.
@@ -38,7 +39,8 @@ def run(
     compute gets the vertices that are active or have messages, with their combined messages (null without), the superstep from
     1, and the aggregates of the step before; it returns them with new state and active. send gets what compute returned and
     gives messages (dst, ...), of which those to unknown ids are dropped. phases: so many times, or while the function of the
-    phase from 1 and the vertices is true, all vertices are woken and the supersteps start anew. report: gets (phase, superstep,
+    phase from 1 and the vertices is true, all vertices are woken and the supersteps start anew. A phase that needs more than
+    max_supersteps, if given, is an error. report: gets (phase, superstep,
     partition, messages) rows.
     """
     if "active" not in vertices.columns:
@@ -50,7 +52,9 @@ def run(
         if phase > 1:
             state = state.withColumn("active", F.lit(True)).select(*columns)
         messages, found = None, {}
-        for step in range(1, max_supersteps + 1):
+        for step in count(1):
+            if max_supersteps is not None and step > max_supersteps:
+                raise RuntimeError(f"vertices still active or messages under way after {max_supersteps} supersteps")
             if messages is None:
                 computed, idle = state.filter("active"), state.filter("not active")
             else:

@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import pytest
@@ -101,6 +102,16 @@ def test_pregel_shortest_paths_with_aggregator_and_stop(spark):
     assert [s for s, _ in seen] == [1, 2, 3] and seen[0][1] == 13 and partial.filter("dist is not null").count() == 5
 
 
+def test_pregel_runs_until_quiet_or_fails(spark):
+    assert inspect.signature(pregel.run).parameters["max_supersteps"].default is None
+    v = spark.createDataFrame([(1,)], "id int")
+    compute = lambda df, step, found: df.withColumn("active", F.lit(step < 3))
+    send = lambda df, step: df.select(F.col("id").alias("dst"), F.lit(1).alias("m")).limit(0)
+    assert pregel.run(v, compute, send, {"m": F.min("m")}, max_supersteps=3).count() == 1
+    with pytest.raises(RuntimeError, match="after 2 supersteps"):
+        pregel.run(v, compute, send, {"m": F.min("m")}, max_supersteps=2)
+
+
 def test_pregel_phases_and_plain_messages(spark):
     v = spark.createDataFrame([(1, 0), (2, 0)], "id long, n int")
 
