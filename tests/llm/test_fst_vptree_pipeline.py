@@ -108,6 +108,14 @@ def test_pruning_leaves_out_branches():
     assert (np.sort(places, 1) == np.sort(truth, 1)).all() and seen < 0.6 * 200 * len(x)
 
 
+def test_op10_is_exact_in_few_intrinsic_dimensions():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(8192, 6)) @ np.linalg.qr(rng.normal(size=(64, 6)))[0].T
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    places, _, _ = vptree.Tree.build(x).search(x[:100], 26, queries.RELAX)
+    assert (np.sort(places, 1) == np.sort(np.argsort(-(x[:100] @ x.T), axis=1)[:, :26], 1)).all()
+
+
 def test_op10_recall(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     want = nearest(rows, {i for i, _ in rows if i % 20 == 0}, 20)
