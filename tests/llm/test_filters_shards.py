@@ -8,7 +8,7 @@ from urllib.parse import quote
 import duckdb
 import pytest
 
-from helixframe.llm import queries, sharding, substring, urlfilter
+from helixframe.llm import queries, sharding, urlfilter
 
 
 def host_and_path(url):
@@ -157,97 +157,3 @@ def test_shards_split_repeated_rows(spark, tmp_path):
     assert sorted(map(tuple, back.select(*df.columns).collect()), key=str) == sorted(rows, key=str)
     assert back.select("__shard").distinct().count() == buckets.count()
     assert sharding.assign(df.limit(0)).count() == 0
-
-
-def dedup_by_hand(rows):
-    """rows: (doc_id, text hash, text); all by plain loops."""
-    where = defaultdict(list)
-    for k, (i, h, text) in enumerate(rows):
-        for a, b, first, n in substring.spans(substring.sentences(text or ""), substring.RUN, substring.MIN_WORDS):
-            where[a, b].append(((math.inf if i is None else i, h, first), k, n))
-    covered = defaultdict(set)
-    for found in where.values():
-        original = min(found)[0]
-        for place, k, n in found:
-            if place != original:
-                covered[k].add((place[2], n))
-    return [substring.without(r[2], sorted(covered[k]))[0] if covered[k] else r[2] for k, r in enumerate(rows)]
-
-
-def test_op3_against_loops(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "text", "xxhash64(text) h").collect()
-    got = {r.doc_id: r for r in queries.op3_substring(spark, sf).collect()}
-    want = dedup_by_hand([(r.doc_id, r.h, r.text) for r in docs])
-    assert {r.doc_id: w for r, w in zip(docs, want, strict=True)} == {i: r.text for i, r in got.items()}
-    texts = {r.doc_id: r.text for r in docs}
-    for i, r in got.items():
-        gone = sum(x.end - x.start for x in r.removed)
-        assert len(r.text) + gone == len(texts[i]) and (gone > 0) == (r.n_removed > 0)
-
-
-PASSAGE = " ".join(f"Word{i} of the passage stands here now and then it goes on{'.' if i % 3 else ','}" for i in range(8))
-
-
-def test_planted_passages_go_and_the_rest_stays(spark):
-    clean = [f"This is the own text number {i} with words w{i}a w{i}b w{i}c." for i in range(6)]
-    rows = [(i, f"{c} {c.upper()[:20]} and so on {PASSAGE} Afterwards {c}", "s") for i, c in enumerate(clean)]
-    got = {r.doc_id: r.text for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string, n_removed string")).collect()}
-    assert got[0] == rows[0][1]
-    for i in range(1, 6):
-        assert "Word2 of the passage" not in got[i] and got[i].startswith(clean[i]) and got[i].endswith(clean[i])
-
-
-@pytest.mark.parametrize("ends", ["", ".", ".,;", ".,"])
-def test_shared_runs_of_fifty_words_share_a_span(ends):
-    rng = random.Random(9)
-
-    def prose(n):
-        return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 7))) + (rng.choice(ends) if ends and rng.random() < 0.1 else "") for _ in range(n))
-
-    for n in [50, 51, 60, 80] * 100:
-        passage = prose(n)
-        a, b = ([s[:2] for s in substring.spans(substring.sentences(f"{prose(rng.randrange(40))} {passage} {prose(rng.randrange(40))}"), substring.RUN, substring.MIN_WORDS)] for _ in range(2))
-        assert set(a) & set(b)
-
-
-def test_pieces_are_the_best_places_of_all_windows():
-    rng = random.Random(12)
-    for _ in range(300):
-        pairs = [(rng.choice("abcdefghijklmnopqrstuvwxyz"), rng.choice([" ", " ", " ", " ", "-", ", ", ". "])) for _ in range(rng.randrange(1, 70))]
-        value = [({". ": (0, 0), ", ": (1, 0)}.get(g) or (2 + (g == "-"), zlib.crc32(w.encode()))) for w, g in pairs]
-        size = substring.WINDOW
-        want = {i for i, v in enumerate(value) if v == (0, 0)} | {min(range(a, a + size), key=lambda i: (value[i], -i)) for a in range(len(pairs) - size + 1)}
-        cuts = [sum(len(w) + len(g) for w, g in pairs[: i + 1]) for i in sorted(want - {len(pairs) - 1})]
-        assert [e for _, e, _ in substring.sentences("".join(w + g for w, g in pairs))][:-1] == cuts
-
-
-def test_scripts_without_spaces(spark):
-    han = "今天天气很好，我们一起去公园散步。路上遇见了许多老朋友！"
-    assert len(substring.sentences(han * 6)) == 12 and len(substring.spans(substring.sentences(han * 6), substring.RUN, substring.MIN_WORDS)) >= 10
-    assert [w for s in substring.sentences("ab漢字 cd") for w in s[2]] == ["ab", "漢", "字", "cd"]
-    passage = han + "昨日は雨が降ったので、家で本を読みました。「明日は晴れるでしょう。」と母が言いました。"
-    rows = [(i, f"{o * 5}。{passage}{o}終") for i, o in enumerate("甲乙丙")]
-    got = {r.doc_id: r.text for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[0] == rows[0][1]
-    assert all("公园" not in got[i] and "雨" not in got[i] and got[i].startswith(rows[i][1][:5]) and got[i].endswith("終") for i in (1, 2))
-
-
-def test_substring_odd_rows(spark):
-    long = "Some sentence with enough words to make a span of its own here. " * 3000
-    rows = [(None, PASSAGE), (3, None), (4, ""), (5, PASSAGE), (5, PASSAGE), (6, long), (7, "x" * 50_000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = substring.dedup(df).collect()
-    assert len(got) == 7
-    by = {r.doc_id: r for r in got}
-    assert by[None].text == "" and by[3].text is None and by[4].text == "" and by[7].text == "x" * 50_000
-    assert [r.text for r in got if r.doc_id == 5] == [PASSAGE] * 2 and len(by[6].text) < 400
-    assert substring.dedup(df.limit(0)).count() == 0
-
-
-def test_sentences_cover_the_text():
-    rng = random.Random(4)
-    for _ in range(300):
-        text = "".join(rng.choice(["word ", "other", ". ", "!", "\n", ", ", "é ", "end.\n", "*** ", "  "]) for _ in range(rng.randrange(120)))
-        own = substring.sentences(text)
-        assert "".join(text[a:b] for a, b, _ in own) == text
-        assert [w for s in own for w in s[2]] == substring._WORD(text.lower())
