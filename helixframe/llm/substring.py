@@ -5,7 +5,7 @@ cut, and ends of sentences always are. Best is a comma, semicolon or colon, then
 the word of the smallest hash. So a piece has at most WINDOW words, and whether a place is cut depends on WINDOW - 1 places to each
 side only: texts that share MIN_WORDS + 4 * WINDOW - 3 words share a span, wherever these stand. From every piece runs the
 shortest span with at least `run` pieces and `min_words` words, and longer repeats are unions of such spans; shorter ones stay. The
-words of a span, lower-cased and without what stands around them, are hashed to 128 bits. Spans meet by hash over the whole corpus; all
+words of a span, lower-cased and without what stands around them, are hashed to 96 bits. Spans meet by hash over the whole corpus; all
 but the first of equal spans (by document id, then text hash, then place) are repeats, and pieces that a repeat covers are removed.
 
 A task first compares its own spans: only the first of equal ones there goes on to the corpus-wide comparison, since the others are
@@ -33,9 +33,9 @@ from helixframe.llm.tokens import blocks
 from helixframe.storage import prepare
 
 RUN, MIN_WORDS, WINDOW = 2, 20, 8
-CHUNK = 1_000_000
+CHUNK = 500_000
 #: Spans that a task compares among themselves at a time.
-LOCAL = 400_000
+LOCAL = 300_000
 # The marks that end sentences or parts of them, and opening ones, which belong to what follows.
 ENDERS, WIDE_ENDERS, COMMAS, WIDE_COMMAS, OPENERS = ".!?…", "。！？｡", ",;:", "，、；：､", "「『（【《〈“‘([{¿¡"
 #: Scripts without spaces (Thai to Khmer, kana, Han), of which each letter counts as a word.
@@ -186,10 +186,10 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def spans(texts: list[str], run: int = RUN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
-    """(hash, hash, number of the text, first character, end) of the span from each piece that has one."""
+    """(hash, more bits of it, number of the text, first character, end) of the span from each piece that has one."""
     sizes = np.array([len(t) for t in texts], np.int64)
     if not sizes.sum():
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint32, np.int64, np.int64, np.int64))
     start, word, value, cut = _joined(texts)
     ends = np.cumsum(sizes)
     behind = np.flatnonzero(_cut_places(value))  # last words of pieces
@@ -206,7 +206,7 @@ def spans(texts: list[str], run: int = RUN, min_words: int = MIN_WORDS) -> tuple
     a = np.flatnonzero(to <= final)
     b = to[a]
     h1 = _hashes(word, begin[a], stop[b], _BASES[1])
-    h2 = _hashes(mix(word ^ np.uint64(_BASES[0])), begin[a], stop[b], _BASES[2])
+    h2 = _hashes(mix(word ^ np.uint64(_BASES[0])), begin[a], stop[b], _BASES[2]).astype(np.uint32)
     base = (ends - sizes)[text[a]]
     return h1, h2, text[a], left[a] - base, right[b] - base
 
@@ -238,8 +238,9 @@ def _spans(run: int, min_words: int):
         h1, h2, doc, row, place = (np.concatenate(c) for c in zip(*held, strict=True))
         keep, known = first_of_equals(h1, h2, doc, row, place)
         # Known repeats meet nothing: what stands for their hash deals them out evenly.
-        k1, k2 = np.where(known, mix((doc ^ row)[keep].astype(np.uint64)), h1[keep]), np.where(known, place[keep].astype(np.uint64), h2[keep])
-        columns = [known, k1.view(np.int64), k2.view(np.int64), doc[keep], row[keep], place[keep]]
+        dealt = mix((doc ^ row ^ place)[keep].view(np.uint64))
+        k1, k2 = np.where(known, dealt, h1[keep]), np.where(known, 0, h2[keep]).astype(np.uint32)
+        columns = [known, k1.view(np.int64), k2.view(np.int32), doc[keep], row[keep], place[keep]]
         for at in range(0, len(keep), 50_000):
             yield pa.record_batch([pa.array(c[at : at + 50_000]) for c in columns], names=names)
 
@@ -299,7 +300,7 @@ def dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, doc_id: s
     doc = F.coalesce(docs[doc_id].cast("long"), F.lit(_NEVER))
     row = F.xxhash64(docs[text])
     inputs = docs.filter(F.length(docs[text]) > 0).select(docs[text].alias("text"), doc.alias("doc"), row.alias("row"))
-    found = inputs.mapInArrow(_spans(run, min_words), "known boolean, h1 long, h2 long, doc long, row long, place long")
+    found = inputs.mapInArrow(_spans(run, min_words), "known boolean, h1 long, h2 int, doc long, row long, place long")
     in_order = "rank() over (partition by known, h1, h2 order by doc, row, place) > 1"
     repeats = found.withColumn("later", F.expr(in_order)).filter("known or later")
     covered = repeats.groupBy("doc", "row").agg(F.collect_set("place").alias("covered"))
