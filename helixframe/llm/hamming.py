@@ -2,8 +2,8 @@
 
 Bits are grouped into partitions, correlated ones together, and partition i gets a threshold T_i so that the
 thresholds sum to tau - m + 1: then fingerprints within tau agree within T_i in some partition. T_i may be -1 (the partition
-is left out), 0 (equal bits meet) or 2 (each fingerprint also goes to the keys one flipped bit away, so any two
-within two bits meet). Number of partitions and thresholds come from dynamic programming on the work they cost,
+is left out), 0 (equal bits meet), 1 (fingerprints with an even number of ones among the bits also go to the keys one flipped bit
+away: of two that differ in one bit, one has an even number) or 2 (all go there, so any two within two bits meet). Number of partitions and thresholds come from dynamic programming on the work they cost,
 rows written plus pairs compared; pairs are estimated from a bounded sample of fingerprints. The estimates set
 only the cost: every plan finds every link.
 """
@@ -84,7 +84,7 @@ def plan(sample: np.ndarray, n: int, tau: int) -> list[Part]:
         for bits in groups_of_bits(sample, m):
             p0, p1, p2 = shares(sample, bits)
             pairs, w = n * n / 2 * PAIR_COST, len(bits)
-            costs = {-1: 0.0, 0: n * ROW_COST + pairs * p0, 2: n * (w + 1) * ROW_COST + pairs * ((w + 1) * p0 + 2 * p1 + 2 * p2)}
+            costs = {-1: 0.0, 0: n * ROW_COST + pairs * p0, 1: n * (w / 2 + 1) * ROW_COST + pairs * ((w / 2 + 1) * p0 + p1 + p2), 2: n * (w + 1) * ROW_COST + pairs * ((w + 1) * p0 + 2 * p1 + 2 * p2)}
             new: dict[int, tuple[float, list[Part]]] = {}
             for total, (cost, parts) in table.items():
                 for t, c in costs.items():
@@ -100,17 +100,18 @@ def plan(sample: np.ndarray, n: int, tau: int) -> list[Part]:
 
 
 def stars(values: np.ndarray, tau: int) -> list[tuple[int, int]]:
-    """(smallest value, other value) for each component of the values linked within tau; each value is compared only with ones not yet reached."""
+    """(value, other value) within tau that connect each component of the values; each is compared only with ones not yet reached."""
     left, out = np.unique(values), []
     while len(left) > 1:
         root, left = left[0], left[1:]
         todo = [root]
         while todo and len(left):
-            near = np.bitwise_count(left ^ todo.pop()) <= tau
+            own = todo.pop()
+            near = np.bitwise_count(left ^ own) <= tau
             if near.any():
                 found = left[near]
                 todo.extend(found)
-                out.extend((int(root), int(x)) for x in found)
+                out.extend((int(own), int(x)) for x in found)
                 left = left[~near]
     return out
 
@@ -163,7 +164,7 @@ def in_blocks(rows: DataFrame, keys: list[str], item, limit: int) -> DataFrame:
 
 
 def links(fps: DataFrame, tau: int) -> DataFrame:
-    """(a, b) that connect all of the distinct long values `fp` within tau bits: in each bucket, a star for each component.
+    """(a, b) that connect all of the distinct long values `fp` within tau bits: in each bucket, a tree for each component.
 
     Every pair within tau is connected by links of its bucket; pairs are not all emitted.
     """
@@ -175,9 +176,10 @@ def links(fps: DataFrame, tau: int) -> DataFrame:
     keys = []
     for i, part in enumerate(plan(sample, n, tau)):
         own = F.col("fp").bitwiseAND(F.lit(signed(part.mask)))
-        flips = [own.bitwiseXOR(F.lit(signed(1 << b))) for b in part.bits] if part.threshold else []
-        keys += [F.struct(F.lit(i).alias("part"), x.alias("key")) for x in (own, *flips)]
-    dealt = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.part", "k.key")
+        here = [F.struct(F.lit(i).alias("part"), x.alias("key")) for x in (own, *(own.bitwiseXOR(F.lit(signed(1 << b))) for b in part.bits))]
+        every, first = F.array(*here), F.array(here[0])
+        keys.append(first if part.threshold == 0 else every if part.threshold == 2 else F.when(F.bit_count(own) % 2 == 0, every).otherwise(first))
+    dealt = fps.select("fp", F.explode(F.concat(*keys)).alias("k")).select("fp", "k.part", "k.key")
     cols = ["part", "key", "b1", "b2"]
     rows = in_blocks(dealt, ["part", "key"], "fp", BLOCK).select(*cols, "fp")
     return rows.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(_compare(tau), "a long, b long")

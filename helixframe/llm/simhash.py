@@ -1,13 +1,13 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked within a Hamming distance, grouped by connection.
 
-components() gives the groups of fingerprints alone. similar() finds all links of a Jaccard similarity of word shingles.
-Fingerprints give a first set of candidates, and each link is held against the exact similarity inside groups of candidates;
-there a document is compared with ones that share a rare enough shingle with it and are not yet reached, so copies are never
-compared all with all. What these groups leave apart then meets by an equi-join of prefixes, which loses no pair.
+components() gives the groups of fingerprints alone. similar() finds all links of a Jaccard similarity of word shingles: links of
+fingerprints are candidates, one a text and bucket and not all pairs of a group, and each is held against the exact similarity.
+Texts that these links leave apart then meet by an equi-join of prefixes, which loses no pair, and are checked in the same way.
 
 Defined results: null text is empty, and empty texts are equal to each other; ids may repeat or be null (a null id
 counts as larger than any other, and a group of null ids only has a null component_id); rows that repeat id and text
-fall into one group; an empty table gives no rows; extra columns are kept by similar() and ignored by components().
+fall into one group, and drop_similar() keeps one of them, any if other columns differ; very long texts are read whole, CHUNK bytes at
+a time; an empty table gives no rows; extra columns of any name are kept by drop_similar() and ignored by the others.
 """
 
 from __future__ import annotations
@@ -18,17 +18,21 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm import hamming
+from helixframe.llm.names import free
+from helixframe.llm.rolling import BASES, mix, run_hashes
 from helixframe.llm.tokens import blocks
 from helixframe.operators.components import connected_components
 from helixframe.storage import prepare, stage
 
 SEED = 42
-#: Texts of a group of candidates that one task verifies; larger groups are split into blocks, and tasks take pairs of blocks.
-BLOCK = 4000
+#: Bytes whose words are hashed at a time.
+CHUNK = 500_000
+#: Candidates of one text that meet it in one task; of a text with more, several copies go out.
+HUB = 256
 #: Shingles that prefixes of similar texts share at least, if their sets have so many.
 SHARED = 4
 #: Texts in which frequent shingles are counted, texts of those that hold a frequent one at least, and frequent ones kept at most.
@@ -60,25 +64,24 @@ def fingerprint(h: np.ndarray) -> int:
     return int(np.packbits(bits * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(n: int, distinct: bool):
+def _fingerprints(n: int):
     def run(batches):
         for batch in batches:
             texts, rest = batch.column("text").to_pylist(), batch.drop_columns(["text"])
             for part in blocks(texts):
                 own = [words(t) for t in texts[part]]
-                found = [fingerprint(hashes(set(shingles(w, n)) if distinct else shingles(w, n))) for w in own]
+                found = [fingerprint(hashes(shingles(w, n))) for w in own]
                 rows = rest.slice(part.start, len(found))
                 yield pa.record_batch([*rows.columns, pa.array(np.array(found, np.uint64).view(np.int64))], names=[*rows.schema.names, "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, distinct: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_key, fp): the MD5 of the text and its fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp): the fingerprint of the text as a signed long."""
     prepare(docs.sparkSession)
-    body = F.coalesce(docs[text], F.lit(""))
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.md5(body).alias("text_key"), body.alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle, distinct), "doc_id long, text_key string, fp long")
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    return rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
 def _roots(fps: DataFrame, tau: int) -> DataFrame:
@@ -89,7 +92,7 @@ def _roots(fps: DataFrame, tau: int) -> DataFrame:
 
 def components(docs: DataFrame, tau: int = 3, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that links within tau bits lead to."""
-    prints = stage(fingerprints(docs, shingle, doc_id=doc_id, text=text).drop("text_key"), "fingerprints")
+    prints = stage(fingerprints(docs, shingle, doc_id=doc_id, text=text), "fingerprints")
     groups = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "groups")
     rooted = stage(groups.join(_roots(groups.select("fp"), tau), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     least = stage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
@@ -97,80 +100,76 @@ def components(docs: DataFrame, tau: int = 3, shingle: int = 3, doc_id: str = "d
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def jaccard_stars(keys: list[str], sets: list[frozenset], similarity: float) -> list[tuple[str, str]]:
-    """(first key, other key) for the components of sets linked by Jaccard similarity.
-
-    Two sets that similar share one of the smallest 1 - similarity of their members (by value), so those are indexed.
-    """
-    prefix = [sorted(s)[: len(s) - ceil(similarity * len(s)) + 1] for s in sets]
-    index: dict[int, set[int]] = {}
-    for i, p in enumerate(prefix):
-        for h in p:
-            index.setdefault(h, set()).add(i)
-
-    def reach(i: int) -> None:
-        for h in prefix[i]:
-            index[h].discard(i)
-
-    out, done = [], [False] * len(keys)
-    for root in range(len(keys)):
-        if done[root]:
-            continue
-        done[root] = True
-        reach(root)
-        todo = [root]
-        while todo:
-            x = todo.pop()
-            own = sets[x]
-            for y in set().union(*(index[h] for h in prefix[x])):
-                small, large = sorted((len(own), len(sets[y])))
-                if small >= similarity * large and (both := len(own & sets[y])) >= similarity * (small + large - both):
-                    done[y] = True
-                    reach(y)
-                    todo.append(y)
-                    out.append((keys[root], keys[y]))
-    return out
-
-
-def _verify(shingle: int, similarity: float):
-    schema = pa.schema([("a", pa.string()), ("b", pa.string())])
-
-    def run(batches):
-        keys: list[str] = []
-        sets: list[frozenset] = []
-        last = None
-
-        def close():
-            found = jaccard_stars(keys, sets, similarity) if len(keys) > 1 else []
-            keys.clear()
-            sets.clear()
-            return found
-
-        def edges(found):
-            return pa.record_batch([pa.array(c, pa.string()) for c in zip(*found, strict=True)], schema=schema)
-
-        for batch in batches:
-            found = []
-            group = list(zip(*(batch.column(c).to_pylist() for c in ("root", "b1", "b2")), strict=True))
-            for g, key, text in zip(group, batch.column("text_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if g != last:
-                    found += close()
-                    last = g
-                if not keys or keys[-1] != key:
-                    keys.append(key)
-                    sets.append(frozenset(hashes(shingles(words(text), shingle)).tolist()) or frozenset([0]))
-            if found:
-                yield edges(found)
-        if found := close():
-            yield edges(found)
-
-    return run
-
-
-def members(text: str | None, shingle: int) -> np.ndarray:
-    """The distinct shingles of a text as sorted hashes; 0 alone for a text without words."""
-    own = words(text)
-    return np.unique(hashes(shingles(own, shingle))) if own else np.zeros(1, np.uint64)
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] += 32
+_SCRAMBLED = mix(_LOWER + np.uint64(1))
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, hash) of each word."""
+    codes = np.frombuffer(raw, np.uint8)
+    blank = np.concatenate([[True], _BLANK[codes], [True]])
+    starts, ends = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+    return starts, run_hashes(_SCRAMBLED[codes], starts, ends, BASES[0])
+
+
+def _hashed_long(raw: bytes) -> np.ndarray:
+    """Hashes of the words of a long text, some CHUNK bytes at a time; a longer word has a hash of its own kind."""
+    out, at = [], 0
+    while at < len(raw):
+        part = np.frombuffer(raw, np.uint8, min(CHUNK, len(raw) - at), at)
+        end = at + len(part)
+        if end < len(raw) and not _BLANK[raw[end]]:
+            blanks = np.flatnonzero(_BLANK[part])
+            if not len(blanks):
+                while end < len(raw) and not _BLANK[raw[end]]:
+                    end += 1
+                out.append(np.array([xxhash.xxh64_intdigest(raw[at:end].lower(), SEED)], np.uint64))
+                at = end
+                continue
+            end = at + int(blanks[-1]) + 1
+        out.append(_hashed(raw[at:end])[1])
+        at = end
+    return np.concatenate([np.zeros(0, np.uint64), *out])
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts, where each text's begin and the last end)."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    if sum(map(len, raw)) + len(raw) > CHUNK:
+        own = [_hashed_long(r) for r in raw]
+        return np.concatenate([np.zeros(0, np.uint64), *own]), np.cumsum([0, *map(len, own)])
+    starts, h = _hashed(b" ".join(raw))
+    firsts = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    return h, np.searchsorted(starts, firsts)
+
+
+def _distinct(values: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values of each owner, sorted and once each; where each owner's begin and the last end)."""
+    order = np.lexsort((values, owner))
+    values, owner = values[order], owner[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    return values[new], np.searchsorted(owner[new], np.arange(n + 1))
+
+
+def members(texts: list[str | None], shingle: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(the distinct shingles of each text as sorted hashes, 0 alone for a text without words; fingerprints of the texts' sets of words)."""
+    h, ends = word_hashes(texts)
+    n = len(texts)
+    count = np.diff(ends)
+    owner = np.repeat(np.arange(n), count)
+    left = np.repeat(ends[1:], count) - np.arange(len(h))  # words from each one to the end of its text
+    first = np.arange(len(h)) == ends[owner] if len(h) else np.zeros(0, bool)
+    begin = np.flatnonzero((left >= shingle) | first)
+    runs = run_hashes(h, begin, np.minimum(begin + shingle, ends[owner[begin] + 1]), BASES[1]) if len(h) else h
+    values, at = _distinct(runs, owner[begin], n)
+    none = np.zeros(1, np.uint64)
+    sets = [values[a:b] if b > a else none for a, b in zip(at.tolist(), at[1:].tolist())]
+    words_, at = _distinct(h, owner, n)
+    return sets, np.array([fingerprint(words_[a:b]) for a, b in zip(at.tolist(), at[1:].tolist())], np.uint64)
 
 
 def least_shared(n: int, similarity: float) -> int:
@@ -193,8 +192,10 @@ def prefix(own: np.ndarray, frequent: np.ndarray, similarity: float) -> tuple[np
 def _members(shingle: int):
     def run(batches):
         for batch in batches:
-            for t in batch.column("text").to_pylist():
-                yield pa.record_batch([pa.array(members(t, shingle).view(np.int64))], names=["h"])
+            texts = batch.column("text").to_pylist()
+            for part in blocks(texts, chars=CHUNK):
+                found, counts = np.unique(np.concatenate(members(texts[part], shingle)[0]), return_counts=True)
+                yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(counts)], names=["h", "n"])
 
     return run
 
@@ -204,8 +205,8 @@ def _frequent(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     body = F.coalesce(docs[text], F.lit("")).alias("text")
     every = max(1, -(-docs.count() // SAMPLE))
     some = docs.select(body).filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
-    counts = some.mapInArrow(_members(shingle), "h long").groupBy("h").count().filter(F.col("count") >= FREQUENT)
-    found = counts.orderBy(F.col("count").desc(), "h").limit(MOST).select("h").toPandas()
+    counts = some.mapInArrow(_members(shingle), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
+    found = counts.orderBy(F.col("n").desc(), "h").limit(MOST).select("h").toPandas()
     return np.sort(found["h"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -213,56 +214,88 @@ def _prefixes(shingle: int, similarity: float, frequent: np.ndarray):
     def run(batches):
         for batch in batches:
             texts, rest = batch.column("text").to_pylist(), batch.drop_columns(["text"])
-            for part in blocks(texts):
-                fps, sizes, needs, firsts = [], [], [], []
-                for t in texts[part]:
-                    own = members(t, shingle)
-                    first, need = prefix(own, frequent, similarity)
-                    fps.append(fingerprint(hashes(set(words(t)))))
-                    sizes.append(len(own))
-                    needs.append(need)
-                    firsts.append(first.view(np.int64))
-                rows = rest.slice(part.start, len(fps))
-                ends = pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32())
-                columns = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(needs, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(firsts)))]
+            for part in blocks(texts, rows=1000, chars=CHUNK):
+                sets, fps = members(texts[part], shingle)
+                made = [prefix(own, frequent, similarity) for own in sets]
+                ends = pa.array(np.cumsum([0, *(len(first) for first, _ in made)]), pa.int32())
+                firsts = pa.array(np.concatenate([first for first, _ in made]).view(np.int64))
+                rows = rest.slice(part.start, len(sets))
+                columns = [pa.array(fps.view(np.int64)), pa.array([len(own) for own in sets], pa.int32()), pa.array([need for _, need in made], pa.int32()), pa.ListArray.from_arrays(ends, firsts)]
                 yield pa.record_batch([*rows.columns, *columns], names=[*rows.schema.names, "fp", "size", "need", "prefix"])
 
     return run
 
 
+def _text_edges(texts: DataFrame, tau: int) -> DataFrame:
+    """(a, b): links of the fingerprints, each between one text of either, and of a fingerprint's first text with its others."""
+    reps = stage(texts.groupBy("fp").agg(F.min("text_key").alias("rep"), F.count("*").alias("n")), "reps")
+    found = hamming.links(reps.select("fp"), tau).distinct()
+    x, y = (reps.select(F.col("fp").alias(f), F.col("rep").alias(r)) for f, r in (("a", "ra"), ("b", "rb")))
+    between = found.join(x, "a").join(y, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    inside = texts.join(reps.filter("n > 1"), "fp").filter("text_key <> rep").select(F.col("rep").alias("a"), F.col("text_key").alias("b"))
+    return stage(between.union(inside), "edges")
+
+
 def _apart(texts: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): keys of all texts in different groups of found (node, root) that may be similar; from (key, size, need, prefix)."""
-    dealt = texts.select("key", "size", "need", F.explode("prefix").alias("h"))
-    n = F.count("*").over(Window.partitionBy("h"))
-    shared = stage(dealt.withColumn("n", n).filter("n > 1").drop("n"), "shared")
+    """(a, b): keys of all texts in different groups of found (node, root) that may be similar; from (key, size, need, prefix).
+
+    Texts of one group never pair. Where a shingle meets one large group and few others, only pairs with those others are made.
+    """
     roots = found.select(F.xxhash64("node").alias("key"), F.xxhash64("root").alias("root"))
-    rooted = stage(shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
-    mixed = stage(rooted.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("h"), "mixed")
-    rows = stage(rooted.join(mixed, "h"), "rows")
-    x, y = (rows.select("h", *(F.col(c).alias(c + e) for c in ("key", "root", "size", "need"))) for e in ("1", "2"))
-    near = (F.col("root1") < F.col("root2")) & (F.least("size1", "size2") >= F.greatest("size1", "size2") * similarity - 1e-6)
-    pairs = x.join(y, "h").filter(near).groupBy("key1", "key2").agg(F.count("*").alias("n"), F.first(F.least("need1", "need2")).alias("need"))
-    return pairs.filter("n >= need").select(F.col("key1").alias("a"), F.col("key2").alias("b"))
+    own = stage(texts.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "own")
+    rooted = own.select("key", "size", "need", "root", F.explode("prefix").alias("h"))
+    mixed = rooted.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("h")
+    rows = stage(rooted.join(stage(mixed, "mixed"), "h"), "rows")
+    main = rows.groupBy("h", "root").count().groupBy("h").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    marked = stage(rows.join(stage(main, "main"), "h").withColumn("own", F.col("root") == F.col("main")).drop("main"), "marked")
+    x, y = (marked.select("h", *(F.col(c).alias(c + e) for c in ("key", "root", "size", "need", "own"))) for e in ("1", "2"))
+    near = F.least("size1", "size2") >= F.greatest("size1", "size2") * similarity - 1e-6
+    once = (F.col("root1") != F.col("root2")) & (F.col("own2") | (F.col("key1") < F.col("key2")))
+    a, b = F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b")
+    pairs = x.filter("not own1").join(y, "h").filter(once & near).groupBy(a, b).agg(F.count("*").alias("n"), F.first(F.least("need1", "need2")).alias("need"))
+    return pairs.filter("n >= need").select("a", "b")
 
 
 def _check(shingle: int, similarity: float):
     def run(batches):
-        last, own = None, frozenset()
+        last, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            out = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text1", "text2")), strict=True):
-                if a != last:
-                    last, own = a, frozenset(members(x, shingle).tolist())
-                other = members(y, shingle).tolist()
-                both = len(own.intersection(other))
-                if both >= similarity * (len(own) + len(other) - both):
-                    out.append((a, b))
-            if out:
-                yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["a", "b"])
+            a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "text1", "text2"))
+            for part in blocks(y, chars=CHUNK):
+                out = []
+                for i, other in zip(range(part.start, part.stop), members(y[part], shingle)[0]):
+                    if a[i] != last:
+                        last, own = a[i], members([x[i]], shingle)[0][0]
+                    small, large = sorted((len(own), len(other)))
+                    if small >= similarity * large:
+                        both = small + large - len(np.unique(np.concatenate([own, other])))
+                        if both >= similarity * (small + large - both):
+                            out.append((a[i], b[i]))
+                if out:
+                    yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     return run
 
 
+def _with_text(edges: DataFrame, bodies: DataFrame, end: str, name: str) -> DataFrame:
+    """The edges with the text of one end; of a text with more than HUB edges, several copies go to as many groups of them."""
+    other = "b" if end == "a" else "a"
+    many = stage(edges.groupBy(end).count().filter(F.col("count") > HUB).select(end, F.ceil(F.col("count") / HUB).cast("int").alias("k")), "hubs")
+    salted = edges.join(many, end, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("k", F.lit(1))).cast("int")).drop("k")
+    own = bodies.select(F.col("text_key").alias(end), F.col("text").alias(name)).join(many, end, "left")
+    copies = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).drop("k")
+    return salted.join(copies, [end, "salt"]).drop("salt")
+
+
+def _verified(edges: DataFrame, texts: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The edges (a, b) between text keys whose texts are similar; rows: (text_key, first, text), texts: (text_key, first)."""
+    keys = edges.select(F.col("a").alias("text_key")).union(edges.select("b")).distinct()
+    wanted = stage(texts.select("text_key", "first").join(keys, "text_key"), "wanted")
+    bodies = stage(rows.join(wanted, ["text_key", "first"]).dropDuplicates(["text_key"]).select("text_key", "text"), "bodies")
+    both = _with_text(_with_text(edges, bodies, "b", "text2"), bodies, "a", "text1")
+    return stage(both.sortWithinPartitions("a").select("a", "b", "text1", "text2").mapInArrow(_check(shingle, similarity), "a string, b string"), "links")
+
+
 def similar(docs: DataFrame, tau: int = 8, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_key, component_id, kept_key): groups of documents of that Jaccard similarity or more, one row an id and text.
 
@@ -276,29 +309,20 @@ def similar(docs: DataFrame, tau: int = 8, shingle: int = 5, similarity: float =
     read = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.md5(body).alias("text_key"), body.alias("text"))
     kinds = "doc_id long, text_key string, fp long, size int, need int, prefix array<long>"
     prints = stage(read.mapInArrow(_prefixes(shingle, similarity, _frequent(docs, text, shingle)), kinds), "fingerprints")
-    ids = F.coalesce("doc_id", never)
-    texts = stage(prints.groupBy("text_key", "fp").agg(F.min(ids).alias("first")), "texts")
-    roots = stage(_roots(texts.select("fp").distinct(), tau), "roots")
-    rooted = stage(texts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-    several = stage(rooted.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root"), "several")
-    candidates = rooted.join(several, "root").select("text_key", "first", "root")
+    texts = stage(prints.groupBy("text_key", "fp").agg(F.min(F.coalesce("doc_id", never)).alias("first")), "texts")
     rows = read.select(F.coalesce("doc_id", never).alias("first"), "text", "text_key")
-    dealt = hamming.in_blocks(stage(candidates, "candidates"), ["root"], "text_key", BLOCK)
-    cols = ["root", "b1", "b2"]
-    full = dealt.join(rows, ["text_key", "first"]).select(*cols, "text_key", "text")
-    checked = stage(full.repartition(*cols).sortWithinPartitions(*cols, "text_key").mapInArrow(_verify(shingle, similarity), "a string, b string"), "checked")
-    once = prints.groupBy("text_key").agg(*(F.first(c).alias(c) for c in ("size", "need", "prefix")))
-    pairs = stage(_apart(once.select(F.xxhash64("text_key").alias("key"), "size", "need", "prefix"), connected_components(checked, "a", "b"), similarity), "pairs")
-    keys = stage(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "keys")
-    wanted = texts.select("text_key", "first", F.xxhash64("text_key").alias("key")).join(keys, "key")
-    bodies = stage(rows.join(wanted, ["text_key", "first"]).dropDuplicates(["text_key"]).select("key", "text_key", "text"), "bodies")
-    x, y = (bodies.select(F.col("key").alias(p), F.col("text_key").alias(k), F.col("text").alias(t)) for p, k, t in (("a", "key1", "text1"), ("b", "key2", "text2")))
-    sides = pairs.join(x, "a").join(y, "b").select(F.col("key1").alias("a"), F.col("key2").alias("b"), "text1", "text2")
-    links = stage(sides.sortWithinPartitions("a").mapInArrow(_check(shingle, similarity), "a string, b string"), "links")
+    checked = _verified(_text_edges(texts, tau), texts, rows, shingle, similarity)
+    chosen = texts.select("text_key", F.col("first").alias("doc_id"))
+    once = prints.withColumn("doc_id", F.coalesce("doc_id", never)).join(chosen, ["text_key", "doc_id"], "left_semi").dropDuplicates(["text_key"])
+    apart = _apart(once.select(F.xxhash64("text_key").alias("key"), "size", "need", "prefix"), connected_components(checked, "a", "b"), similarity)
+    named = texts.select("text_key", F.xxhash64("text_key").alias("key"))
+    x, y = (named.select(F.col("key").alias(k), F.col("text_key").alias(t)) for k, t in (("a", "ta"), ("b", "tb")))
+    pairs = stage(stage(apart, "pairs").join(x, "a").join(y, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")), "pairs")
+    links = _verified(pairs, texts, rows, shingle, similarity)
     found = connected_components(checked.union(links), "a", "b")
-    named = stage(texts.join(found, texts["text_key"] == found["node"], "left").select("text_key", "first", F.coalesce("root", "text_key").alias("root")), "named")
-    least = stage(named.groupBy("root").agg(F.min(F.struct("first", "text_key")).alias("least")), "least")
-    labels = named.join(least, "root").select("text_key", F.col("least.first").alias("component_id"), F.col("least.text_key").alias("kept_key"))
+    rooted = stage(texts.join(found, texts["text_key"] == found["node"], "left").select("text_key", "first", F.coalesce("root", "text_key").alias("root")), "rooted")
+    least = stage(rooted.groupBy("root").agg(F.min(F.struct("first", "text_key")).alias("least")), "least")
+    labels = rooted.join(least, "root").select("text_key", F.col("least.first").alias("component_id"), F.col("least.text_key").alias("kept_key"))
     out = prints.select("doc_id", "text_key").distinct().join(labels, "text_key")
     return out.select("doc_id", "text_key", F.nullif("component_id", never).alias("component_id"), "kept_key")
 
@@ -306,7 +330,8 @@ def similar(docs: DataFrame, tau: int = 8, shingle: int = 5, similarity: float =
 def drop_similar(docs: DataFrame, tau: int = 8, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs with one document of each group: the smallest id, then the smallest text hash; repeated rows once."""
     kept = similar(docs, tau, shingle, similarity, doc_id, text).filter("doc_id <=> component_id and text_key = kept_key")
-    key = F.md5(F.coalesce(F.col(text), F.lit("")))
-    ids = kept.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__id"), F.col("text_key").alias("__key")).distinct()
-    rows = docs.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)), "__key": key})
-    return rows.join(ids, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).select(*docs.columns)
+    never = F.lit((1 << 63) - 1)
+    i, k = free(docs, "id", "key")
+    ids = kept.select(F.coalesce("doc_id", never).alias(i), F.col("text_key").alias(k)).distinct()
+    rows = docs.withColumns({i: F.coalesce(F.col(f"`{doc_id}`").cast("long"), never), k: F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
+    return rows.join(ids, [i, k], "left_semi").dropDuplicates([i, k]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.names import free, without
+from helixframe.llm.rolling import BASES, mix, run_hashes
 from helixframe.llm.tokens import blocks
 from helixframe.storage import prepare
 
@@ -43,16 +44,6 @@ UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30F
 _WORD, _LETTER, _SPACE, _LINE, _ENDER, _WIDE_ENDER, _COMMA, _WIDE_COMMA, _OPENER = (1 << i for i in range(9))
 _AN_END = re.compile(rf"(?:\n|[{WIDE_ENDERS}]|[{ENDERS}](?:[^\w\s]|_)*\s)[\W_]*").search
 _NEVER = (1 << 63) - 1
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Odd bases of the polynomial hashes of words and of spans.
-_BASES = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A one-to-one scrambling of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
 
 
 @cache
@@ -72,30 +63,6 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return kind, mix(lower + np.uint64(1))
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0, 1, ... modulo 2 ** 64, n or more of them."""
-    known = _POWERS.get(base)
-    if known is None or len(known) < n:
-        known = np.full(max(n, 1 << 16), base, np.uint64)
-        known[0] = 1
-        known = np.cumprod(known, dtype=np.uint64)
-        if n <= 2 * CHUNK:
-            _POWERS[base] = known
-    return known
-
-
-def _hashes(values: np.ndarray, a: np.ndarray, b: np.ndarray, base: int) -> np.ndarray:
-    """A hash of values[a:b] for each of those ranges: of equal runs the same wherever they stand."""
-    n = len(values) + 1
-    sums = np.zeros(n, np.uint64)
-    np.cumsum(values * _powers(base, n)[: n - 1], out=sums[1:])
-    back = _powers(pow(base, -1, 1 << 64), n)
-    return mix((sums[b] - sums[a]) * back[a] ^ (b - a).astype(np.uint64) * _M2)
-
-
 def _cut_places(value: np.ndarray) -> np.ndarray:
     """Which places hold the least value of some WINDOW neighbouring ones; texts end with a 0, so that no window reaches over two."""
     n = len(value)
@@ -151,7 +118,7 @@ def _words(text: str, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
         comma = np.minimum.reduceat(np.where(kind_of == _COMMA, own, len(codes)), at)
         late[some] = ender < space
         has[some] = np.where(comma < space, has[some], has[some] & ~np.uint16(_COMMA))
-    word = _hashes(scrambled[codes], starts, ends, _BASES[0])
+    word = run_hashes(scrambled[codes], starts, ends, BASES[0])
     value = word >> np.uint64(2) | np.uint64(1)
     comma = has & (_COMMA | _WIDE_COMMA) > 0
     value |= np.where(comma, 0, np.where(has & _SPACE > 0, 1, 2)).astype(np.uint64) << np.uint64(62)
@@ -205,8 +172,8 @@ def spans(texts: list[str], run: int = RUN, min_words: int = MIN_WORDS) -> tuple
     final = np.searchsorted(text, text, "right") - 1
     a = np.flatnonzero(to <= final)
     b = to[a]
-    h1 = _hashes(word, begin[a], stop[b], _BASES[1])
-    h2 = _hashes(mix(word ^ np.uint64(_BASES[0])), begin[a], stop[b], _BASES[2]).astype(np.uint32)
+    h1 = run_hashes(word, begin[a], stop[b], BASES[1])
+    h2 = run_hashes(mix(word ^ np.uint64(BASES[0])), begin[a], stop[b], BASES[2]).astype(np.uint32)
     base = (ends - sizes)[text[a]]
     return h1, h2, text[a], left[a] - base, right[b] - base
 

@@ -108,9 +108,27 @@ def test_drop_similar_against_all_pairs(spark, sf):
     rows = {r.doc_id: r.text for r in docs.collect()}
     ids = sorted(rows)
     pairs = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if jaccard(rows[a], rows[b]) >= 0.8]
-    want = set(groups_of(pairs, ids).values())
-    got = {r.doc_id for r in simhash.drop_similar(docs).collect()}
-    assert want <= got and len(got) <= len(want) + 1  # a link may have words that differ by more than the fingerprints allow
+    assert {r.doc_id for r in simhash.drop_similar(docs).collect()} == set(groups_of(pairs, ids).values())
+
+
+def test_similar_on_ten_thousand_documents(spark):
+    """All links over all distinct texts, by plain sets and an index of all shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    first = {}
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        first.setdefault(r.text, r.doc_id)
+    sets = {i: set(simhash.shingles(simhash.words(t), 5)) or {b""} for t, i in first.items()}
+    held = defaultdict(list)
+    for i, own in sets.items():
+        for x in sorted(own, key=hash)[: len(own) // 5 + 1]:  # similar sets share one of these
+            held[x].append(i)
+    near = {(a, b) for own in held.values() for a in own for b in own if a < b and min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b]))}
+    pairs = [(a, b) for a, b in near if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert pairs
+    roots = groups_of(pairs, list(sets))
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    assert got == {r.doc_id: roots[first[r.text]] for r in rows}
 
 
 @pytest.mark.parametrize("frequent", [3, 10**9])
@@ -147,24 +165,33 @@ def test_prefixes_of_similar_sets_share_enough():
 
 
 def test_drop_similar_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 3)
+    monkeypatch.setattr(simhash, "HUB", 3)
     base = [f"w{i}" for i in range(200)]
-    near = [(100 + i, " ".join([*base[:i], "other", *base[i + 1 :]]), "s") for i in range(0, 200, 10)]
-    odd = [(None, "alone here", "s"), (4, None, "s"), (5, "", "s"), (6, "same id", "a"), (6, "same id", "b"), (6, "not the same", "c"), (50, " ".join(base), None)]
-    got = sorted((r.doc_id or -1, r.text) for r in simhash.drop_similar(spark.createDataFrame(near + odd, "doc_id long, text string, root string")).collect())
-    assert got == [(-1, "alone here"), (4, None), (6, "not the same"), (6, "same id"), (50, " ".join(base))]
+    near = [(100 + i, " ".join([*base[:i], "other", *base[i + 1 :]]), "s", "k") for i in range(0, 200, 10)]
+    odd = [(None, "alone here", "s", "k"), (4, None, "s", "k"), (5, "", "s", "k"), (6, "same id", "a", "k"), (6, "same id", "b", "k"), (6, "not the same", "c", "k"), (50, " ".join(base), None, "k")]
+    rows = simhash.drop_similar(spark.createDataFrame(near + odd, "doc_id long, text string, root string, __KEY string"))
+    assert rows.columns == ["doc_id", "text", "root", "__KEY"] and {r["__KEY"] for r in rows.collect()} == {"k"}
+    assert sorted((r.doc_id or -1, r.text) for r in rows.collect()) == [(-1, "alone here"), (4, None), (6, "not the same"), (6, "same id"), (50, " ".join(base))]
 
 
-def test_jaccard_stars_against_all_pairs():
+def test_members_by_loops(monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 60)
     rng = random.Random(5)
-    for _ in range(30):
-        sets = []
-        for _ in range(12):
-            base = rng.sample(range(1000), 30)
-            sets += [frozenset(rng.sample(base, 30 - rng.randrange(5)) + rng.sample(range(2000), rng.randrange(4))) for _ in range(4)]
-        keys = [f"{i:03}" for i in range(len(sets))]
-        want = [(a, b) for i, a in enumerate(keys) for j, b in enumerate(keys[:i]) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-        assert groups_of(simhash.jaccard_stars(keys, sets, 0.8), keys) == groups_of(want, keys)
+    texts = [None, "", " \t", "a", "A b", "x" * 200, *("".join(rng.choice(["Word ", "é", "b\x0b", "c\u00a0d ", "  "]) for _ in range(rng.randrange(120))) for _ in range(40))]
+    seen = {}
+    for t in texts:
+        (own,), (fp,) = simhash.members([t], 3)
+        want = set(simhash.shingles(simhash.words(t), 3)) or {b""}
+        assert len(own) == len(want) and (np.diff(own.astype(object)) > 0).all()
+        seen.setdefault(frozenset(want), own.tolist())
+        assert seen[frozenset(want)] == own.tolist() and (fp != 0 or not simhash.words(t))
+    monkeypatch.setattr(simhash, "CHUNK", 10**6)
+    sets, _ = simhash.members([t for t in texts if len(t or "") < 60], 3)
+    assert [s.tolist() for s in sets] == [simhash.members([t], 3)[0][0].tolist() for t in texts if len(t or "") < 60]
+    all_ = {frozenset(k): set(v) for k, v in seen.items()}
+    for a, x in all_.items():
+        for b, y in all_.items():
+            assert len(a & b) == len(x & y)
 
 
 def test_langid_held_out_accuracy(spark, sf):
