@@ -2,7 +2,8 @@
 
 components() gives the groups of fingerprints alone. similar() finds all links of a Jaccard similarity of word shingles: links of
 fingerprints are candidates, one a text and bucket and not all pairs of a group, and each is held against the exact similarity.
-Texts that these links leave apart then meet by an equi-join of prefixes, which loses no pair, and are checked in the same way.
+Texts that these links leave apart then meet by an equi-join of prefixes, which loses no pair, and are checked in the same way, or in
+blocks where many meet.
 
 Defined results: null text is empty, and empty texts are equal to each other; ids may repeat or be null (a null id
 counts as larger than any other, and a group of null ids only has a null component_id); rows that repeat id and text
@@ -33,6 +34,9 @@ SEED = 42
 CHUNK = 500_000
 #: Candidates of one text that meet it in one task; of a text with more, several copies go out.
 HUB = 256
+#: Texts outside of the largest group at a shingle up to which they are paired; beyond, blocks of texts are compared in tasks: of so many
+#: texts and shingles each on average, and so many columns of their incidence matrix at a time.
+FEW, BLOCK, BLOCK_SHINGLES, COLUMNS = 8, 256, 500_000, 2048
 #: Shingles that prefixes of similar texts share at least, if their sets have so many.
 SHARED = 4
 #: Texts in which frequent shingles are counted, texts of those that hold a frequent one at least, and frequent ones kept at most.
@@ -236,19 +240,24 @@ def _text_edges(texts: DataFrame, tau: int) -> DataFrame:
     return stage(between.union(inside), "edges")
 
 
-def _apart(texts: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): keys of all texts in different groups of found (node, root) that may be similar; from (key, size, need, prefix).
+def _meetings(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """(h, key, size, need, root, own, hot): texts at the shingles of prefixes where groups of found (node, root) meet.
 
-    Texts of one group never pair. Where a shingle meets one large group and few others, only pairs with those others are made.
+    own: in the largest group there. hot: more than FEW texts are outside of it. From (key, size, need, prefix).
     """
     roots = found.select(F.xxhash64("node").alias("key"), F.xxhash64("root").alias("root"))
     own = stage(texts.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "own")
     rooted = own.select("key", "size", "need", "root", F.explode("prefix").alias("h"))
     mixed = rooted.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("h")
     rows = stage(rooted.join(stage(mixed, "mixed"), "h"), "rows")
-    main = rows.groupBy("h", "root").count().groupBy("h").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    marked = stage(rows.join(stage(main, "main"), "h").withColumn("own", F.col("root") == F.col("main")).drop("main"), "marked")
-    x, y = (marked.select("h", *(F.col(c).alias(c + e) for c in ("key", "root", "size", "need", "own"))) for e in ("1", "2"))
+    sizes = rows.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("others"))
+    main = F.col("root") == F.col("main")
+    return stage(rows.join(stage(sizes, "sizes"), "h").select("h", "key", "size", "need", "root", main.alias("own"), (F.col("others") > FEW).alias("hot")), "meetings")
+
+
+def _pairs(meetings: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): keys of texts in different groups that may be similar and share no hot shingle of their prefixes, FEW a text and shingle at most."""
+    x, y = (meetings.filter("not hot").select("h", *(F.col(c).alias(c + e) for c in ("key", "root", "size", "need", "own"))) for e in ("1", "2"))
     near = F.least("size1", "size2") >= F.greatest("size1", "size2") * similarity - 1e-6
     once = (F.col("root1") != F.col("root2")) & (F.col("own2") | (F.col("key1") < F.col("key2")))
     a, b = F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b")
@@ -256,6 +265,79 @@ def _apart(texts: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     return pairs.filter("n >= need").select("a", "b")
 
 
+def links_among(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of similar sets that connect all sets that similar pairs connect; products of parts of the incidence matrix count what pairs share."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], float)
+    owner = np.repeat(np.arange(n), sizes.astype(int))
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    several = np.bincount(column) > 1
+    column, owner = (np.cumsum(several) - 1)[column][several[column]], owner[several[column]]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((n, n), np.float32)
+    for at in range(0, int(several.sum()), COLUMNS):
+        i, j = np.searchsorted(column, (at, at + COLUMNS))
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[owner[i:j], column[i:j] - at] = 1
+        both += part @ part.T
+    shared = both.astype(float)
+    near = shared >= similarity * (sizes[:, None] + sizes - shared)
+    left, out = np.ones(n, bool), []
+    for root in range(n):
+        todo = [root] if left[root] else []
+        left[root] = False
+        while todo:
+            x = todo.pop()
+            found = np.flatnonzero(near[x] & left)
+            left[found] = False
+            todo.extend(found.tolist())
+            out.extend((x, y) for y in found.tolist())
+    return out
+
+
+def _linked(shingle: int, similarity: float):
+    def run(batches):
+        last, keys, sets = None, [], []
+
+        def close():
+            found = links_among(sets, similarity) if len(sets) > 1 else []
+            return [(keys[i], keys[j]) for i, j in found]
+
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            group = list(zip(*(batch.column(c).to_pylist() for c in ("h", "b1", "b2", "text_key")), strict=True))
+            out = []
+            for part in blocks(texts, rows=1000, chars=CHUNK):
+                for (*g, key), own in zip(group[part], members(texts[part], shingle)[0], strict=True):
+                    if g != last:
+                        out += close()
+                        last, keys, sets = g, [], []
+                    keys.append(key)
+                    sets.append(own)
+            if out:
+                yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["a", "b"])
+        if out := close():
+            yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return run
+
+
+def _hot_links(meetings: DataFrame, texts: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): links that connect similar texts which share a hot shingle. Texts of a shingle are dealt to blocks, and tasks take pairs of blocks."""
+    hot = meetings.filter("hot")
+    whole = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    blocks_ = stage(hot.groupBy("h").agg(whole.alias("k")), "blocks")
+    own = F.pmod(F.xxhash64("key"), F.col("k")).cast("int")
+    dealt = hot.select("h", "key").join(blocks_, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.filter("k = 1 or own <> other").select("h", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "key")
+    named = texts.select("text_key", "first", F.xxhash64("text_key").alias("key"))
+    bodies = _bodies(hot.select("key").distinct().join(named, "key").select("text_key"), texts, rows).withColumn("key", F.xxhash64("text_key"))
+    cols = ["h", "b1", "b2"]
+    full = dealt.join(bodies, "key").select(*cols, "text_key", "text").repartition(*cols).sortWithinPartitions(*cols, "text_key")
+    return stage(full.mapInArrow(_linked(shingle, similarity), "a string, b string"), "links")
+
+
 def _check(shingle: int, similarity: float):
     def run(batches):
         last, own = None, np.zeros(0, np.uint64)
@@ -287,11 +369,15 @@ def _with_text(edges: DataFrame, bodies: DataFrame, end: str, name: str) -> Data
     return salted.join(copies, [end, "salt"]).drop("salt")
 
 
+def _bodies(keys: DataFrame, texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(text_key, text) of the keys; rows: (text_key, first, text), texts: (text_key, first)."""
+    wanted = stage(texts.select("text_key", "first").join(keys, "text_key"), "wanted")
+    return stage(rows.join(wanted, ["text_key", "first"]).dropDuplicates(["text_key"]).select("text_key", "text"), "bodies")
+
+
 def _verified(edges: DataFrame, texts: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The edges (a, b) between text keys whose texts are similar; rows: (text_key, first, text), texts: (text_key, first)."""
-    keys = edges.select(F.col("a").alias("text_key")).union(edges.select("b")).distinct()
-    wanted = stage(texts.select("text_key", "first").join(keys, "text_key"), "wanted")
-    bodies = stage(rows.join(wanted, ["text_key", "first"]).dropDuplicates(["text_key"]).select("text_key", "text"), "bodies")
+    bodies = _bodies(edges.select(F.col("a").alias("text_key")).union(edges.select("b")).distinct(), texts, rows)
     both = _with_text(_with_text(edges, bodies, "b", "text2"), bodies, "a", "text1")
     return stage(both.sortWithinPartitions("a").select("a", "b", "text1", "text2").mapInArrow(_check(shingle, similarity), "a string, b string"), "links")
 
@@ -314,11 +400,11 @@ def similar(docs: DataFrame, tau: int = 8, shingle: int = 5, similarity: float =
     checked = _verified(_text_edges(texts, tau), texts, rows, shingle, similarity)
     chosen = texts.select("text_key", F.col("first").alias("doc_id"))
     once = prints.withColumn("doc_id", F.coalesce("doc_id", never)).join(chosen, ["text_key", "doc_id"], "left_semi").dropDuplicates(["text_key"])
-    apart = _apart(once.select(F.xxhash64("text_key").alias("key"), "size", "need", "prefix"), connected_components(checked, "a", "b"), similarity)
+    meetings = _meetings(once.select(F.xxhash64("text_key").alias("key"), "size", "need", "prefix"), connected_components(checked, "a", "b"))
     named = texts.select("text_key", F.xxhash64("text_key").alias("key"))
     x, y = (named.select(F.col("key").alias(k), F.col("text_key").alias(t)) for k, t in (("a", "ta"), ("b", "tb")))
-    pairs = stage(stage(apart, "pairs").join(x, "a").join(y, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")), "pairs")
-    links = _verified(pairs, texts, rows, shingle, similarity)
+    pairs = stage(stage(_pairs(meetings, similarity), "pairs").join(x, "a").join(y, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")), "pairs")
+    links = _verified(pairs, texts, rows, shingle, similarity).union(_hot_links(meetings, texts, rows, shingle, similarity))
     found = connected_components(checked.union(links), "a", "b")
     rooted = stage(texts.join(found, texts["text_key"] == found["node"], "left").select("text_key", "first", F.coalesce("root", "text_key").alias("root")), "rooted")
     least = stage(rooted.groupBy("root").agg(F.min(F.struct("first", "text_key")).alias("least")), "least")

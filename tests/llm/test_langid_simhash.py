@@ -131,9 +131,10 @@ def test_similar_on_ten_thousand_documents(spark):
     assert got == {r.doc_id: roots[first[r.text]] for r in rows}
 
 
-@pytest.mark.parametrize("frequent", [3, 10**9])
-def test_drop_similar_loses_no_link_of_any_edit(spark, monkeypatch, frequent):
-    monkeypatch.setattr(simhash, "FREQUENT", frequent)
+@pytest.mark.parametrize("frequent, few, block", [(3, 8, 256), (10**9, 8, 256), (10**9, 0, 3), (10**9, 10**9, 256)])
+def test_drop_similar_loses_no_link_of_any_edit(spark, monkeypatch, frequent, few, block):
+    for name, value in (("FREQUENT", frequent), ("FEW", few), ("BLOCK", block), ("COLUMNS", 50)):
+        monkeypatch.setattr(simhash, name, value)
     rng = random.Random(11)
     line = " ".join(f"common{i}" for i in range(30))
     rows = []
@@ -174,6 +175,28 @@ def test_drop_similar_odd_rows(spark, monkeypatch):
     assert sorted((r.doc_id or -1, r.text) for r in rows.collect()) == [(-1, "alone here"), (4, None), (6, "not the same"), (6, "same id"), (50, " ".join(base))]
 
 
+def test_links_among_against_all_pairs():
+    rng = random.Random(5)
+    for _ in range(30):
+        sets = []
+        for _ in range(12):
+            base = rng.sample(range(1000), 30)
+            sets += [np.unique(np.array(rng.sample(base, 30 - rng.randrange(5)) + rng.sample(range(2000), rng.randrange(4)), np.uint64)) for _ in range(4)]
+        want = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+        assert groups_of(simhash.links_among(sets, 0.8), range(len(sets))) == groups_of(want, range(len(sets)))
+
+
+def test_a_large_group_of_unlike_near_copies_is_not_paired(spark):
+    """Texts that share most shingles but are below the similarity, and some above: rows stay linear, links are all found."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(x if j not in (a, b) else f"y{i}z{j}" for j, x in enumerate(base)) for i, (a, b) in enumerate((rng.randrange(40), rng.randrange(40)) for _ in range(600))]
+    rows = list(enumerate(texts))
+    sets = {i: set(simhash.shingles(simhash.words(t), 5)) for i, t in rows}
+    pairs = [(a, b) for a in sets for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == groups_of(pairs, list(sets))
+
+
 def test_members_by_loops(monkeypatch):
     monkeypatch.setattr(simhash, "CHUNK", 60)
     rng = random.Random(5)
