@@ -11,19 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.storage import stage
+from helixframe.storage import drop, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
     least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = stage(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "components")
+    drop(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = stage(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    out = stage(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "components")
+    drop(least)
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -37,7 +41,10 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = stage(pairs.distinct(), "components")
     mark = _mark(now)
     while mark[0]:
-        now = stage(_small_star(stage(_large_star(now), "components")), "components")
+        large = _large_star(now)
+        drop(now)
+        now = _small_star(large)
+        drop(large)
         before, mark = mark, _mark(now)
         if mark == before:
             break

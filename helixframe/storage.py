@@ -34,7 +34,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.staged_path = path
+    return made
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what stage() wrote for these tables, of which nothing will be read any more."""
+    for df in tables:
+        if path := getattr(df, "staged_path", None):
+            drop_path(df.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
