@@ -19,7 +19,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm import hamming
@@ -27,7 +27,7 @@ from helixframe.llm.names import free
 from helixframe.llm.rolling import BASES, mix, run_hashes
 from helixframe.llm.tokens import blocks
 from helixframe.operators.components import connected_components
-from helixframe.storage import prepare, stage
+from helixframe.storage import drop, prepare, stage
 
 SEED = 42
 #: Bytes whose words are hashed at a time.
@@ -37,9 +37,10 @@ HUB = 256
 #: Texts outside of the largest group at a shingle up to which they are paired; beyond, blocks of texts are compared in tasks: of so many
 #: texts and shingles each on average, and so many columns of their incidence matrix at a time.
 FEW, BLOCK, BLOCK_SHINGLES, COLUMNS = 8, 256, 500_000, 2048
-#: Shingles that prefixes of similar texts share at least, if their sets have so many.
+#: Shingles that prefixes of similar texts share at least, if their sets have so many; rows of prefixes that a task compares itself at a time.
 SHARED = 4
 #: Texts in which frequent shingles are counted, texts of those that hold a frequent one at least, and frequent ones kept at most.
+LOCAL = 500_000
 SAMPLE, FREQUENT, MOST = 10_000, 3, 50_000
 
 
@@ -214,18 +215,56 @@ def _frequent(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     return np.sort(found["h"].to_numpy(np.int64).view(np.uint64))
 
 
-def _prefixes(shingle: int, similarity: float, frequent: np.ndarray):
+def _prints(shingle: int, similarity: float):
+    """Adds to rows of texts their fingerprints, numbers of shingles, and of those that prefixes of similar texts share."""
+
     def run(batches):
         for batch in batches:
             texts, rest = batch.column("text").to_pylist(), batch.drop_columns(["text"])
             for part in blocks(texts, rows=1000, chars=CHUNK):
                 sets, fps = members(texts[part], shingle)
-                made = [prefix(own, frequent, similarity) for own in sets]
-                ends = pa.array(np.cumsum([0, *(len(first) for first, _ in made)]), pa.int32())
-                firsts = pa.array(np.concatenate([first for first, _ in made]).view(np.int64))
                 rows = rest.slice(part.start, len(sets))
-                columns = [pa.array(fps.view(np.int64)), pa.array([len(own) for own in sets], pa.int32()), pa.array([need for _, need in made], pa.int32()), pa.ListArray.from_arrays(ends, firsts)]
-                yield pa.record_batch([*rows.columns, *columns], names=[*rows.schema.names, "fp", "size", "need", "prefix"])
+                needs = [min(SHARED, least_shared(len(own), similarity)) for own in sets]
+                columns = [pa.array(fps.view(np.int64)), pa.array([len(own) for own in sets], pa.int32()), pa.array(needs, pa.int32())]
+                yield pa.record_batch([*rows.columns, *columns], names=[*rows.schema.names, "fp", "size", "need"])
+
+    return run
+
+
+def meeting_rows(h: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(known, h, key) once each of all rows whose h has one key here, and of others all as known and one more, which goes on as not known."""
+    order = np.lexsort((key, h))
+    h, key = h[order], key[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1])
+    h, key = h[new], key[new]
+    first = np.ones(len(h), bool)
+    first[1:] = h[1:] != h[:-1]
+    known = ~first
+    known[:-1] |= ~first[1:]
+    return np.concatenate([np.zeros(int(first.sum()), bool), np.ones(int(known.sum()), bool)]), np.concatenate([h[first], h[known]]), np.concatenate([key[first], key[known]])
+
+
+def _prefixes(shingle: int, similarity: float, frequent: np.ndarray):
+    def made(held):
+        known, h, key = meeting_rows(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        for at in range(0, len(h), 50_000):
+            yield pa.record_batch([pa.array(c[at : at + 50_000]) for c in (known, h.view(np.int64), key)], names=["known", "h", "key"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            texts, keys = batch.column("text").to_pylist(), batch.column("key").to_numpy()
+            for part in blocks(texts, rows=1000, chars=CHUNK):
+                for own, key in zip(members(texts[part], shingle)[0], keys[part], strict=True):
+                    first, _ = prefix(own, frequent, similarity)
+                    held.append((first, np.full(len(first), key)))
+                    n += len(first)
+                if n >= LOCAL:
+                    yield from made(held)
+                    held, n = [], 0
+        if n:
+            yield from made(held)
 
     return run
 
@@ -240,16 +279,21 @@ def _text_edges(texts: DataFrame, tau: int) -> DataFrame:
     return stage(between.union(inside), "edges")
 
 
-def _meetings(texts: DataFrame, found: DataFrame) -> DataFrame:
+def _meetings(prefixes: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
     """(h, key, size, need, root, own, hot): texts at the shingles of prefixes where groups of found (node, root) meet.
 
-    own: in the largest group there. hot: more than FEW texts are outside of it. From (key, size, need, prefix).
+    own: in the largest group there. hot: more than FEW texts are outside of it. prefixes: (known, h, key); texts: (key, size, need).
     """
+    same = Window.partitionBy("known", "dealt")
+    dealt = prefixes.withColumn("dealt", F.when(F.col("known"), F.xxhash64("h", "key")).otherwise(F.col("h")))
+    several = dealt.withColumns({"least": F.min("key").over(same), "most": F.max("key").over(same)}).filter("known or least < most")
+    shared = stage(several.select("h", "key").distinct(), "shared")
     roots = found.select(F.xxhash64("node").alias("key"), F.xxhash64("root").alias("root"))
     own = stage(texts.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "own")
-    rooted = own.select("key", "size", "need", "root", F.explode("prefix").alias("h"))
+    rooted = stage(shared.join(own, "key"), "rooted")
     mixed = rooted.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("h")
     rows = stage(rooted.join(stage(mixed, "mixed"), "h"), "rows")
+    drop(shared, own, rooted)
     sizes = rows.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("others"))
     main = F.col("root") == F.col("main")
     return stage(rows.join(stage(sizes, "sizes"), "h").select("h", "key", "size", "need", "root", main.alias("own"), (F.col("others") > FEW).alias("hot")), "meetings")
@@ -323,7 +367,7 @@ def _linked(shingle: int, similarity: float):
     return run
 
 
-def _hot_links(meetings: DataFrame, texts: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _hot_links(meetings: DataFrame, bodies: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(a, b): links that connect similar texts which share a hot shingle. Texts of a shingle are dealt to blocks, and tasks take pairs of blocks."""
     hot = meetings.filter("hot")
     whole = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
@@ -331,10 +375,8 @@ def _hot_links(meetings: DataFrame, texts: DataFrame, rows: DataFrame, shingle:
     own = F.pmod(F.xxhash64("key"), F.col("k")).cast("int")
     dealt = hot.select("h", "key").join(blocks_, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.filter("k = 1 or own <> other").select("h", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "key")
-    named = texts.select("text_key", "first", F.xxhash64("text_key").alias("key"))
-    bodies = _bodies(hot.select("key").distinct().join(named, "key").select("text_key"), texts, rows).withColumn("key", F.xxhash64("text_key"))
     cols = ["h", "b1", "b2"]
-    full = dealt.join(bodies, "key").select(*cols, "text_key", "text").repartition(*cols).sortWithinPartitions(*cols, "text_key")
+    full = dealt.join(bodies.withColumn("key", F.xxhash64("text_key")), "key").select(*cols, "text_key", "text").repartition(*cols).sortWithinPartitions(*cols, "text_key")
     return stage(full.mapInArrow(_linked(shingle, similarity), "a string, b string"), "links")
 
 
@@ -375,9 +417,12 @@ def _bodies(keys: DataFrame, texts: DataFrame, rows: DataFrame) -> DataFrame:
     return stage(rows.join(wanted, ["text_key", "first"]).dropDuplicates(["text_key"]).select("text_key", "text"), "bodies")
 
 
-def _verified(edges: DataFrame, texts: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The edges (a, b) between text keys whose texts are similar; rows: (text_key, first, text), texts: (text_key, first)."""
-    bodies = _bodies(edges.select(F.col("a").alias("text_key")).union(edges.select("b")).distinct(), texts, rows)
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("a").alias("text_key")).union(edges.select("b")).distinct()
+
+
+def _verified(edges: DataFrame, bodies: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The edges (a, b) between text keys whose texts are similar; bodies: (text_key, text)."""
     both = _with_text(_with_text(edges, bodies, "b", "text2"), bodies, "a", "text1")
     return stage(both.sortWithinPartitions("a").select("a", "b", "text1", "text2").mapInArrow(_check(shingle, similarity), "a string, b string"), "links")
 
@@ -393,18 +438,22 @@ def similar(docs: DataFrame, tau: int = 8, shingle: int = 5, similarity: float =
     never = F.lit((1 << 63) - 1)
     body = F.coalesce(docs[text], F.lit(""))
     read = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.md5(body).alias("text_key"), body.alias("text"))
-    kinds = "doc_id long, text_key string, fp long, size int, need int, prefix array<long>"
-    prints = stage(read.mapInArrow(_prefixes(shingle, similarity, _frequent(docs, text, shingle)), kinds), "fingerprints")
-    texts = stage(prints.groupBy("text_key", "fp").agg(F.min(F.coalesce("doc_id", never)).alias("first")), "texts")
+    prints = stage(read.mapInArrow(_prints(shingle, similarity), "doc_id long, text_key string, fp long, size int, need int"), "fingerprints")
+    texts = stage(prints.groupBy("text_key", "fp", "size", "need").agg(F.min(F.coalesce("doc_id", never)).alias("first")), "texts")
     rows = read.select(F.coalesce("doc_id", never).alias("first"), "text", "text_key")
-    checked = _verified(_text_edges(texts, tau), texts, rows, shingle, similarity)
-    chosen = texts.select("text_key", F.col("first").alias("doc_id"))
-    once = prints.withColumn("doc_id", F.coalesce("doc_id", never)).join(chosen, ["text_key", "doc_id"], "left_semi").dropDuplicates(["text_key"])
-    meetings = _meetings(once.select(F.xxhash64("text_key").alias("key"), "size", "need", "prefix"), connected_components(checked, "a", "b"))
+    edges = _text_edges(texts, tau)
+    bodies = _bodies(_ends(edges), texts, rows)
+    checked = _verified(edges, bodies, shingle, similarity)
+    drop(edges, bodies)
+    prefixes = read.select(F.xxhash64("text_key").alias("key"), "text").mapInArrow(_prefixes(shingle, similarity, _frequent(docs, text, shingle)), "known boolean, h long, key long")
+    meetings = _meetings(prefixes, texts.select(F.xxhash64("text_key").alias("key"), "size", "need"), connected_components(checked, "a", "b"))
     named = texts.select("text_key", F.xxhash64("text_key").alias("key"))
     x, y = (named.select(F.col("key").alias(k), F.col("text_key").alias(t)) for k, t in (("a", "ta"), ("b", "tb")))
     pairs = stage(stage(_pairs(meetings, similarity), "pairs").join(x, "a").join(y, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")), "pairs")
-    links = _verified(pairs, texts, rows, shingle, similarity).union(_hot_links(meetings, texts, rows, shingle, similarity))
+    at_hot = meetings.filter("hot").select("key").distinct().join(named, "key").select("text_key")
+    bodies = _bodies(_ends(pairs).union(at_hot).distinct(), texts, rows)
+    links = _verified(pairs, bodies, shingle, similarity).union(_hot_links(meetings, bodies, shingle, similarity))
+    drop(meetings, pairs, bodies)
     found = connected_components(checked.union(links), "a", "b")
     rooted = stage(texts.join(found, texts["text_key"] == found["node"], "left").select("text_key", "first", F.coalesce("root", "text_key").alias("root")), "rooted")
     least = stage(rooted.groupBy("root").agg(F.min(F.struct("first", "text_key")).alias("least")), "least")
