@@ -36,9 +36,10 @@ CHUNK = 500_000
 HUB = 256
 #: Texts outside of the largest group at a shingle up to which they are paired; beyond, blocks of texts are compared in tasks: of so many
 #: texts and shingles each on average, and so many columns of their incidence matrix at a time.
-FEW, BLOCK, BLOCK_SHINGLES, COLUMNS = 8, 256, 500_000, 2048
-#: Shingles that prefixes of similar texts share at least, if their sets have so many; rows of prefixes that a task compares itself at a time.
-SHARED = 4
+FEW, BLOCK, BLOCK_SHINGLES, COLUMNS = 64, 256, 500_000, 2048
+#: Shingles that prefixes of similar texts share at least, if their sets have so many, as a number and as a share of the set: a larger one
+#: makes prefixes longer, and fewer unlike texts share so many. LOCAL: rows of prefixes that a task compares itself at a time.
+SHARED, SHARE = 4, 0.04
 #: Texts in which frequent shingles are counted, texts of those that hold a frequent one at least, and frequent ones kept at most.
 LOCAL = 500_000
 SAMPLE, FREQUENT, MOST = 10_000, 3, 50_000
@@ -182,6 +183,11 @@ def least_shared(n: int, similarity: float) -> int:
     return max(1, ceil(similarity * n - 1e-9))
 
 
+def needed(n: int, similarity: float) -> int:
+    """Members that the prefix of a set of n shares with any similar set's at least, if that one's does not ask for fewer."""
+    return min(max(SHARED, ceil(SHARE * n)), least_shared(n, similarity))
+
+
 def prefix(own: np.ndarray, frequent: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
     """(first members in the order infrequent before frequent, then by value; how many of them a similar set's prefix shares).
 
@@ -190,7 +196,7 @@ def prefix(own: np.ndarray, frequent: np.ndarray, similarity: float) -> tuple[np
     at = np.minimum(np.searchsorted(frequent, own), max(len(frequent) - 1, 0))
     common = frequent[at] == own if len(frequent) else np.zeros(len(own), bool)
     overlap = least_shared(len(own), similarity)
-    need = min(SHARED, overlap)
+    need = needed(len(own), similarity)
     return np.concatenate([own[~common], own[common]])[: len(own) - overlap + need], need
 
 
@@ -224,7 +230,7 @@ def _prints(shingle: int, similarity: float):
             for part in blocks(texts, rows=1000, chars=CHUNK):
                 sets, fps = members(texts[part], shingle)
                 rows = rest.slice(part.start, len(sets))
-                needs = [min(SHARED, least_shared(len(own), similarity)) for own in sets]
+                needs = [needed(len(own), similarity) for own in sets]
                 columns = [pa.array(fps.view(np.int64)), pa.array([len(own) for own in sets], pa.int32()), pa.array(needs, pa.int32())]
                 yield pa.record_batch([*rows.columns, *columns], names=[*rows.schema.names, "fp", "size", "need"])
 
@@ -464,9 +470,14 @@ def similar(docs: DataFrame, tau: int = 8, shingle: int = 5, similarity: float =
 
 def drop_similar(docs: DataFrame, tau: int = 8, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs with one document of each group: the smallest id, then the smallest text hash; repeated rows once."""
-    kept = similar(docs, tau, shingle, similarity, doc_id, text).filter("doc_id <=> component_id and text_key = kept_key")
+    found = similar(docs, tau, shingle, similarity, doc_id, text)
     never = F.lit((1 << 63) - 1)
     i, k = free(docs, "id", "key")
-    ids = kept.select(F.coalesce("doc_id", never).alias(i), F.col("text_key").alias(k)).distinct()
-    rows = docs.withColumns({i: F.coalesce(F.col(f"`{doc_id}`").cast("long"), never), k: F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
-    return rows.join(ids, [i, k], "left_semi").dropDuplicates([i, k]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.withColumns({i: F.coalesce(F.col(f"`{doc_id}`").cast("long"), never), k: F.md5(body)})
+    key = [F.coalesce("doc_id", never).alias(i), F.col("text_key").alias(k)]
+    gone = stage(found.filter("not (doc_id <=> component_id and text_key = kept_key)").select(*key), "gone")
+    several = stage(rows.groupBy(i, k).count().filter("count > 1").select(i, k), "several")  # few, as a rule: only these rows are dealt out by key
+    kept = rows.join(gone, [i, k], "left_anti")
+    once = kept.join(several, [i, k], "left_anti").union(kept.join(several, [i, k], "left_semi").dropDuplicates([i, k]))
+    return once.select(*(F.col(f"`{c}`") for c in docs.columns))
