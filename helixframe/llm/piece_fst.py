@@ -8,11 +8,11 @@ produce, so the composition accepts just that one; for unigram models the accept
 negative log probabilities. The ids are the shortest path in the tropical semiring (min, +), found left to right.
 
 Inputs are cut where no piece can span, by classes of characters checked against all pieces, and ids of short units are
-remembered, since words repeat. Where several merges have one and the same score (runs of the mark) the acceptor
-alone would not settle ties; units with such runs are settled by the merges themselves.
+remembered, since words repeat. A piece weighs 1 in a BPE model. Merges serve to compile the acceptor, two pieces at a time; where
+several have one and the same score (runs of the mark), tests hold the shortest path against the merges of the whole unit.
 
 Defined results: null and empty texts have no ids; ids out of range decode to nothing, and null ids to an empty text; repeated rows
-are coded each; an empty table gives no rows; other columns are kept, but for one that has the name of the result.
+are coded each; very long texts are read whole, unit by unit; an empty table gives no rows; other columns are kept, but for one that has the name of the result.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -106,7 +107,7 @@ class _Units(dict):
 
 
 class Transducer:
-    MAX_PAIRS, MAX_MERGED = 400_000, 200
+    MAX_PAIRS = 400_000
 
     def __init__(self, model: Model):
         self.model = model
@@ -116,13 +117,6 @@ class Transducer:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(model.pieces) if t == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.least = min(self.score.values(), default=0.0)
-        scores = [s for p, s in self.score.items() if len(p) > 1]
-        self.tied = {p for p, s in self.score.items() if len(p) > 1} if len(set(scores)) < len(scores) else set()
-        if self.tied:
-            seen: dict[float, int] = {}
-            for s in scores:
-                seen[s] = seen.get(s, 0) + 1
-            self.tied = {p for p in self.tied if seen[self.score[p]] > 1}
         self.trie: dict = {}
         for p in self.ids:
             node = self.trie
@@ -151,16 +145,30 @@ class Transducer:
 
     def merged(self, text: str) -> list[str]:
         """Segmentation by the merges: again and again the neighbours whose joined piece scores best, leftmost first."""
-        out = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(out) - 1):
-                s = self.score.get(out[i] + out[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                return out
-            out[at : at + 2] = [out[at] + out[at + 1]]
+        piece = list(text)
+        after, before = list(range(1, len(piece) + 1)), list(range(-1, len(piece) - 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < len(piece):
+                joined = piece[i] + piece[after[i]]
+                if (s := self.score.get(joined)) is not None:
+                    heappush(heap, (-s, i, joined))
+
+        for i in range(len(piece)):
+            offer(i)
+        while heap:
+            _, i, joined = heappop(heap)
+            j = after[i]
+            if j >= len(piece) or not piece[i] or len(piece[i]) + len(piece[j]) != len(joined):
+                continue  # one of them has been merged since
+            piece[i], piece[j] = joined, ""
+            after[i] = after[j]
+            if after[i] < len(piece):
+                before[after[i]] = i
+            offer(before[i])
+            offer(i)
+        return [p for p in piece if p]
 
     def follows(self, u: str, v: str) -> bool:
         """The acceptor of neighbours; of a first piece u is empty."""
@@ -202,47 +210,6 @@ class Transducer:
             j -= len(last[j])
         return out[::-1]
 
-    def _from(self, unit: str, i: int) -> list[str]:
-        """Pieces that start at a place, shorter ones first; a character without a piece stands for itself."""
-        node, out, j = self.trie, [], i
-        while j < len(unit) and (node := node.get(unit[j])) is not None:
-            j += 1
-            p = node.get("")
-            if p is not None:
-                out.append(p)
-        if i < len(unit) and (not out or len(out[0]) > 1):
-            out.insert(0, unit[i])
-        return out
-
-    def only_path(self, unit: str) -> list[str]:
-        """The one path that the composition with a BPE model accepts, and so its shortest, without weighing any other.
-
-        Longer arcs are tried first. A place is reached by one accepted path at most, so a place that led nowhere stays closed.
-        """
-        n, closed = len(unit), set()
-        path: list[str] = []
-        places, arcs = [0], [self._from(unit, 0)]
-        known = self._follows
-        while places[-1] < n:
-            u, i, todo = path[-1] if path else "", places[-1], arcs[-1]
-            while todo:
-                p = todo.pop()
-                j = i + len(p)
-                if j in closed:
-                    continue
-                ok = known.get((u, p))
-                if ok if ok is not None else self.follows(u, p):
-                    path.append(p)
-                    places.append(j)
-                    arcs.append(self._from(unit, j))
-                    break
-            else:
-                closed.add(i)
-                places.pop()
-                arcs.pop()
-                path.pop()
-        return path
-
     def _emit(self, pieces: list[str]) -> bytes:
         out = []
         for p in pieces:
@@ -256,10 +223,7 @@ class Transducer:
         return struct.pack(f"<{len(out)}I", *out)
 
     def unit(self, unit: str) -> bytes:
-        if self.model.kind != BPE:
-            return self._emit(self.shortest(unit))
-        tie = self.tied and SPACE * 2 in unit
-        return self._emit(self.merged(unit) if tie and len(unit) <= self.MAX_MERGED else self.only_path(unit))
+        return self._emit(self.shortest(unit))
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes."""

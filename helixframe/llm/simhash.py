@@ -36,7 +36,7 @@ CHUNK = 500_000
 HUB = 256
 #: Texts outside of the largest group at a shingle up to which they are paired; beyond, blocks of texts are compared in tasks: of so many
 #: texts and shingles each on average, and so many columns of their incidence matrix at a time.
-FEW, BLOCK, BLOCK_SHINGLES, COLUMNS = 64, 256, 500_000, 2048
+FEW, BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1500, 500_000, 2048
 #: Shingles that prefixes of similar texts share at least, if their sets have so many, as a number and as a share of the set: a larger one
 #: makes prefixes longer, and fewer unlike texts share so many. LOCAL: rows of prefixes that a task compares itself at a time.
 SHARED, SHARE = 4, 0.04
@@ -331,15 +331,14 @@ def links_among(sets: list[np.ndarray], similarity: float) -> list[tuple[int, in
         part = np.zeros((n, COLUMNS), np.float32)
         part[owner[i:j], column[i:j] - at] = 1
         both += part @ part.T
-    shared = both.astype(float)
-    near = shared >= similarity * (sizes[:, None] + sizes - shared)
     left, out = np.ones(n, bool), []
     for root in range(n):
         todo = [root] if left[root] else []
         left[root] = False
         while todo:
             x = todo.pop()
-            found = np.flatnonzero(near[x] & left)
+            shared = both[x].astype(float)
+            found = np.flatnonzero((shared >= similarity * (sizes[x] + sizes - shared)) & left)
             left[found] = False
             todo.extend(found.tolist())
             out.extend((x, y) for y in found.tolist())
@@ -479,5 +478,7 @@ def drop_similar(docs: DataFrame, tau: int = 8, shingle: int = 5, similarity: fl
     gone = stage(found.filter("not (doc_id <=> component_id and text_key = kept_key)").select(*key), "gone")
     several = stage(rows.groupBy(i, k).count().filter("count > 1").select(i, k), "several")  # few, as a rule: only these rows are dealt out by key
     kept = rows.join(gone, [i, k], "left_anti")
+    if several.isEmpty():
+        return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
     once = kept.join(several, [i, k], "left_anti").union(kept.join(several, [i, k], "left_semi").dropDuplicates([i, k]))
     return once.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -81,10 +81,12 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         self._chunks = re.compile(chunks).findall
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
+        added = [t["content"] for t in made.get("added_tokens") or []]
+        #: Words of the vocabulary that the library finds in a text before it cuts it: such texts go through the whole library.
+        self._added = re.compile("|".join(map(re.escape, added)), re.I).search if added else None
         self._lower = "Lowercase" in str(made["normalizer"])
         steps = (made["pre_tokenizer"] or {}).get("pretokenizers") or [made["pre_tokenizer"]]
         self._words = re.compile(plain_pattern(steps[0].get("pattern", {}).get("Regex", _BYTE_LEVEL))).findall
@@ -99,7 +101,7 @@ class ChunkEncoder:
     def _one(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(c in text for c in _ODD):
+        if any(c in text for c in _ODD) or self._added and self._added(text):
             return self._whole(text)
         if text.isascii() or not _OTHER(text):
             return self._plain(text)

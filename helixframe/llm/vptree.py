@@ -26,7 +26,7 @@ from helixframe.storage import prepare, stage
 
 #: Rows of a shard and queries of a block, on average.
 SHARD_ROWS, BLOCK_ROWS, LEAF = 8192, 4096, 64
-#: Distinct vectors kept beyond k, against rounding before scores are computed again.
+#: Distinct vectors kept beyond k, against rounding before scores are computed again; where scores tie beyond them, all of a shard are scored.
 SLACK = 6
 
 
@@ -79,6 +79,7 @@ class Tree:
         n, squares = len(queries), np.einsum("ij,ij->i", queries, queries)
         best, place = np.full((n, k), -np.inf), np.full((n, k), -1)
         bound = np.full(n, np.inf)  # distance of the k-th found
+        blur = 1e-7 * np.sqrt(self.top + squares)  # more than rounding can do to distances
         leaves = {int(a): self.vectors[self.order[a:b]] for a, b, left, _ in self.nodes if left < 0}
         seen = 0
 
@@ -106,7 +107,7 @@ class Tree:
             for first, second, side in ((inner, outer, near), (outer, inner, ~near)):
                 if side.any():
                     visit(int(first), who[side])
-                    far = np.abs(gap[side]) * relax <= bound[who[side]] * (1 + 1e-12) + 1e-12
+                    far = np.abs(gap[side]) * relax <= bound[who[side]] + blur[who[side]]
                     if far.any():
                         visit(int(second), who[side][far])
 
@@ -143,8 +144,14 @@ def _answers(raw: bytes, ids: np.ndarray, x: np.ndarray, k: int, relax: float) -
     z = np.load(io.BytesIO(raw))
     tree = Tree(z["vectors"], z["extra"], z["order"], z["nodes"], z["radii"], float(z["top"]))
     ends, all_ids = z["ends"], z["ids"]
-    places, _, _ = tree.search(x, min(k + SLACK, len(tree.vectors)), relax)
+    keep = min(k + SLACK, len(tree.vectors))
+    places, best, _ = tree.search(x, keep, relax)
+    blur = 1e-12 * np.sqrt(tree.top * np.einsum("ij,ij->i", x, x))
+    # A query's own vector may be among the first k + 1. If the last one kept is as good as these, others left out may be too.
+    tied = (best[:, -1] >= best[:, min(k, keep - 1)] - blur) & (keep < len(tree.vectors))
     for number, (own, q, found) in enumerate(zip(ids.tolist(), x, places, strict=True)):
+        if tied[number]:
+            found = np.flatnonzero(tree.vectors @ q >= best[number, min(k, keep - 1)] - blur[number])
         found = found[found >= 0]
         exact = [math.fsum(p) for p in (tree.vectors[found] * q).tolist()]
         rows = [(-s, i) for s, f in zip(exact, found, strict=True) for i in all_ids[ends[f - 1] if f else 0 : ends[f]].tolist() if i != own]

@@ -49,7 +49,30 @@ def test_shortest_path_equals_merges_without_units():
     rng = random.Random(9)
     for _ in range(300):
         s = "▁" + "▁".join("".join(rng.choice("etaonirsh.") for _ in range(rng.randrange(1, 12))) for _ in range(3))
-        assert fst.shortest(s) == fst.merged(s) == fst.only_path(s)
+        assert fst.shortest(s) == fst.merged(s)
+    for _ in range(5000):  # merges of runs of marks have equal scores
+        s = "".join(rng.choice(["▁", "▁" * rng.randrange(1, 40), "the", "in", "a", "s"]) for _ in range(rng.randrange(1, 9)))
+        assert fst.shortest(s) == fst.merged(s)
+
+
+def merges_by_hand(text, score):
+    out = list(text)
+    while True:
+        best = max(((score[a + b], -i) for i, (a, b) in enumerate(itertools.pairwise(out)) if a + b in score), default=None)
+        if best is None:
+            return out
+        out[-best[1] : 2 - best[1]] = [out[-best[1]] + out[1 - best[1]]]
+
+
+def test_merges_against_loops_and_long_runs_of_marks():
+    fst = piece_fst.compiled(PATH)
+    rng = random.Random(3)
+    for n in (1, 5, 30, 90):
+        for _ in range(40):
+            s = "".join(rng.choice(["▁", "▁▁", "th", "e", "in", "a"]) for _ in range(n))
+            assert fst.merged(s) == merges_by_hand(s, fst.score)
+    for text in (" " * 5000 + "a", "a" + " " * 777 + "the end", " " * 20_000):
+        assert np.frombuffer(fst.encode(text), "<u4").tolist() == LIBRARY.encode(text)
 
 
 def test_op9(spark, sf):
@@ -99,6 +122,18 @@ def test_exact_with_odd_rows(spark):
     assert vptree.search(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_ties_go_to_smaller_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [1.0, float(a), float(b)]) for i, (a, b) in enumerate(rng.normal(size=(500, 2)))]
+    rows += [(1000 + i, [2.0, 0.0, float(i)]) for i in range(4)] + [(2000, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = vptree.usable(df)
+    for shard_rows in (100, 5000):
+        got = vptree.search(v, v.filter("vec_id = 2000"), k=20, shard_rows=shard_rows)
+        assert grouped(got.collect()) == nearest(rows, {2000}, 20)
+        assert sorted(r.vec_id for r in got.collect()) == [*range(16), 1000, 1001, 1002, 1003]
+
+
 def test_pruning_leaves_out_branches():
     rng = np.random.default_rng(5)
     x = np.concatenate([c + 0.01 * rng.normal(size=(400, 3)) for c in 5 * rng.normal(size=(12, 3))])

@@ -241,7 +241,7 @@ def test_langid_scores_against_plain_loops(monkeypatch):
             h = (((h ^ ord(c)) * int(langid._MIX[k % 3])) + k + 1) % 2**32
         return (h ^ h >> 15) * int(langid._MIX[1]) % 2**32 >> 16
 
-    texts = ["Ab", "", None, "123 !", "Länger als ein Fenster, 漢字 too", "é"]
+    texts = ["Ab", "", None, "123 !", "Länger als ein Fenster, 漢字 too", "é", "²½ Ⅷ ①", "abcdef", "abcdefg", "abcde", "abcd", "x" * 33]
     names, best = langid.score(model, texts)
     for t, n, s in zip(texts, names, best, strict=True):
         if not t or not any(c.isalpha() for c in t):
@@ -253,8 +253,39 @@ def test_langid_scores_against_plain_loops(monkeypatch):
         assert s == pytest.approx(1 / np.exp(logits - logits.max()).sum())
 
 
+def test_langid_windows_are_bounded():
+    seen = [grams.shape[1] for grams, _, _ in langid.windows(["ab " * 3_000_000])]
+    assert len(seen) > 2 and max(seen) <= 5 * langid.WINDOW
+
+
+def test_langid_counts_by_loops(spark):
+    rows = [(1, "the cat sat", "en"), (2, "le chat", "fr"), (3, "the the", "en"), (4, None, "en"), (5, "x", None)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), smoothing=0.5)
+
+    def bucket(gram):
+        h = 0
+        for k, c in enumerate(gram):
+            h = (((h ^ ord(c)) * int(langid._MIX[k % 3])) + k + 1) % 2**32
+        return (h ^ h >> 15) * int(langid._MIX[1]) % 2**32 >> 16
+
+    counts = np.full((2, langid.BUCKETS), 0.5)
+    for _, text, lang in rows[:3]:
+        p = f" {text} "
+        for k in langid.ORDERS:
+            for i in range(len(p) - k + 1):
+                counts[["en", "fr"].index(lang), bucket(p[i : i + k])] += 1
+    assert model.languages == ["en", "fr"] and np.allclose(model.log_prior, np.log([2 / 3, 1 / 3]))
+    assert np.allclose(model.log_prob[:, :-1], np.log(counts / counts.sum(axis=1, keepdims=True))) and (model.log_prob[:, -1] == 0).all()
+
+
+def test_langid_refuses_what_are_no_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        langid.fit(spark.createDataFrame([(i, "text", f"l{i}") for i in range(3)], "doc_id long, text string, lang string"))
+
+
 def test_langid_odd_tables(spark):
-    schema = "doc_id long, text string, lang string, score string, lang_pred string"
+    schema = "doc_id long, text string, lang string, Score string, lang_pred string"
     empty = langid.fit(spark.createDataFrame([], schema))
     df = spark.createDataFrame([(None, None, None, "a", "b"), (1, "", "en", "a", "b"), (1, "hello", None, "a", "b")], schema)
     assert [(r.lang_pred, r.score) for r in langid.predict(df, empty).collect()] == [("und", 0.0)] * 3
