@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from helixframe.llm.names import without
 from helixframe.storage import prepare
 
 # Fixed values of the format: element ids.
@@ -278,8 +279,9 @@ def _with(batch, limit: int = 8 << 20, **columns) -> Iterator[pa.RecordBatch]:
 
 
 def store(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds `media`: each text's padded UTF-8 bytes as a Matroska file; drops the text."""
+    """Adds `media`: each text's padded UTF-8 bytes as a Matroska file; drops the text, and a column that has that name already."""
     prepare(df.sparkSession)
+    df = df.select(*without(df, text, "media").columns, df[text].alias(text))
 
     def run(batches):
         for batch in batches:
@@ -300,8 +302,9 @@ def _summary(media: Media, payload: bytes) -> str:
 
 
 def read_back(df: DataFrame, media: str = "media") -> DataFrame:
-    """Adds `payload` (all packets' bytes), `feature` (tracks, clusters, cues, packets, sample statistics) and `error`."""
+    """Adds `payload` (all packets' bytes), `feature` (tracks, clusters, cues, packets, sample statistics) and `error`, in place of columns of these names."""
     prepare(df.sparkSession)
+    df = without(df, "payload", "feature", "error")
 
     def run(batches):
         for batch in batches:

@@ -83,7 +83,9 @@ def assign(docs: DataFrame, limit: int = LIMIT, doc_id: str = "doc_id", text: st
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the rows as Parquet, a folder a shard, and return the directory."""
+    """Write the rows as Parquet, a folder a shard, and return the directory. Columns named as those that this adds are an error."""
+    if clash := {c.lower() for c in docs.columns} & {"__key", "__size", "__shard", "__depth", "__bytes"}:
+        raise ValueError(f"columns {sorted(clash)} would be overwritten")
     keyed = stage(_keyed(docs, doc_id, text), "keyed")
     buckets = directory(keyed.select("__key", "__size"), limit)
     out = _shards(keyed, buckets).select(*docs.columns, F.concat(F.lit("b"), "__shard").alias("__shard"))

@@ -381,7 +381,7 @@ def _hot_links(meetings: DataFrame, bodies: DataFrame, shingle: int, similarity:
     dealt = hot.select("h", "key").join(blocks_, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.filter("k = 1 or own <> other").select("h", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "key")
     cols = ["h", "b1", "b2"]
-    full = dealt.join(bodies.withColumn("key", F.xxhash64("text_key")), "key").select(*cols, "text_key", "text").repartition(*cols).sortWithinPartitions(*cols, "text_key")
+    full = dealt.hint("merge").join(bodies.withColumn("key", F.xxhash64("text_key")), "key").select(*cols, "text_key", "text").repartition(*cols).sortWithinPartitions(*cols, "text_key")
     return stage(full.mapInArrow(_linked(shingle, similarity), "a string, b string"), "links")
 
 
@@ -417,9 +417,12 @@ def _with_text(edges: DataFrame, bodies: DataFrame, end: str, name: str) -> Data
 
 
 def _bodies(keys: DataFrame, texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """(text_key, text) of the keys; rows: (text_key, first, text), texts: (text_key, first)."""
+    """(text_key, text) of the keys; rows: (text_key, first, text), texts: (text_key, first).
+
+    Here and where documents are dropped, texts are merged with keys at every size, so that plans do not change as tables grow.
+    """
     wanted = stage(texts.select("text_key", "first").join(keys, "text_key"), "wanted")
-    return stage(rows.join(wanted, ["text_key", "first"]).dropDuplicates(["text_key"]).select("text_key", "text"), "bodies")
+    return stage(rows.join(wanted.hint("merge"), ["text_key", "first"]).dropDuplicates(["text_key"]).select("text_key", "text"), "bodies")
 
 
 def _ends(edges: DataFrame) -> DataFrame:
@@ -477,7 +480,7 @@ def drop_similar(docs: DataFrame, tau: int = 8, shingle: int = 5, similarity: fl
     key = [F.coalesce("doc_id", never).alias(i), F.col("text_key").alias(k)]
     gone = stage(found.filter("not (doc_id <=> component_id and text_key = kept_key)").select(*key), "gone")
     several = stage(rows.groupBy(i, k).count().filter("count > 1").select(i, k), "several")  # few, as a rule: only these rows are dealt out by key
-    kept = rows.join(gone, [i, k], "left_anti")
+    kept = rows.join(gone.hint("merge"), [i, k], "left_anti")
     if several.isEmpty():
         return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
     once = kept.join(several, [i, k], "left_anti").union(kept.join(several, [i, k], "left_semi").dropDuplicates([i, k]))

@@ -81,7 +81,7 @@ def _lexical(df: DataFrame) -> DataFrame:
     """Adds the features but for the suffix rates, and the buckets of the suffixes."""
     url = F.coalesce("url", F.lit(""))
     n = F.greatest(F.length(url), F.lit(1))
-    query = F.regexp_extract(url, r"\?([^#]*)", 1)
+    query = F.regexp_extract(url, r"^[^#?]*\?([^#]*)", 1)
     labels = F.split("host", r"\.")
     each = F.transform(F.array_distinct(F.split(url, "")), lambda c: F.length(url) - F.length(F.replace(url, c, F.lit(""))))
     bits = F.aggregate(each, F.lit(0.0), lambda a, k: a + F.when(k > 0, k * F.log2(k.cast("double"))).otherwise(0.0))

@@ -157,3 +157,14 @@ def test_shards_split_repeated_rows(spark, tmp_path):
     assert sorted(map(tuple, back.select(*df.columns).collect()), key=str) == sorted(rows, key=str)
     assert back.select("__shard").distinct().count() == buckets.count()
     assert sharding.assign(df.limit(0)).count() == 0
+
+
+def test_writing_refuses_clashing_names(spark, tmp_path):
+    with pytest.raises(ValueError):
+        sharding.write(spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, __KEY int"), str(tmp_path / "x"))
+
+
+def test_parameters_are_not_taken_from_fragments(spark):
+    urls = [("http://a.b/x#frag?a=1&b=2",), ("http://a.b/x?a=1#frag",), ("http://a.b/x",)]
+    df = urlfilter.parsed(spark.createDataFrame([(i, u) for i, (u,) in enumerate(urls)], "page_id long, url string"), [])
+    assert [r.params for r in urlfilter._lexical(df).orderBy("page_id").collect()] == [0.0, 1.0, 0.0]

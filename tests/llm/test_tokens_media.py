@@ -182,3 +182,9 @@ def test_media_odd_rows(spark):
     assert table.agg(F.sum("size")).first()[0] == 200_000 and table.filter("cued").count() == table.count() == 196
     assert matroska.packets(spark.createDataFrame([(1, None)], "k long, media binary"), "k").count() == 0
     assert matroska.store(df.limit(0)).count() == 0
+
+
+def test_media_columns_take_the_place_of_others(spark):
+    df = spark.createDataFrame([(1, "some text", "x", "y", "z")], "doc_id long, text string, Media string, error string, Feature string")
+    (row,) = matroska.read_back(matroska.store(df)).collect()
+    assert bytes(row.payload) == matroska.padded("some text") and row.error is None and set(row.asDict()) == {"doc_id", "media", "payload", "feature", "error"}
