@@ -252,6 +252,10 @@ ORACLES: dict[str, str] = {
     "bubble_filter": f"WITH RECURSIVE {_FILTERED} SELECT contig_id, CAST(length(seq) AS INT) AS length, {_canon('seq')} AS seq FROM filtered",
     "tip_contigs": f"WITH RECURSIVE {_FILTERED} SELECT contig_id, CAST(length(seq) AS INT) AS length FROM filtered WHERE length(seq) <= {K - 1 + PARAMETERS.tip_t} AND (in_nb IS NULL OR out_nb IS NULL)",
     "contig_graph": f"WITH RECURSIVE {_CONTIG_GRAPH} SELECT * FROM contig_graph",
+    "contig_stats": f"""WITH RECURSIVE {_FILTERED}, lengths AS (SELECT length(seq) AS n, count(*) AS times FROM filtered GROUP BY 1),
+        longest_first AS (SELECT n, times, sum(n * times) OVER (ORDER BY n DESC) AS so_far, sum(n * times) OVER () AS total FROM lengths)
+        SELECT CAST(coalesce(sum(times), 0) AS BIGINT) AS n_sequences, CAST(coalesce(sum(n * times), 0) AS BIGINT) AS total_bases, CAST(coalesce(max(n), 0) AS INT) AS longest,
+               CAST(coalesce(max(n) FILTER (2 * so_far >= total), 0) AS INT) AS n50 FROM longest_first""",
     "terasort_order": "SELECT l_extendedprice, l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) - 1 AS pos FROM lineitem",
     "pregel_min_label": """WITH m AS (SELECT c_nationkey + 1000000 AS b, min(c_custkey) AS label FROM customer GROUP BY 1)
         SELECT c_custkey AS id, label FROM customer JOIN m ON b = c_nationkey + 1000000 UNION ALL SELECT CAST(b AS BIGINT), label FROM m""",
