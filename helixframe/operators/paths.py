@@ -62,7 +62,7 @@ def ranked(nodes: DataFrame, slots: DataFrame) -> DataFrame:
     twin = rows.select("v", (~F.col("h")).alias("h"), F.col("ev").alias("first_v"), F.col("dist").alias("rnk"))
     both = rows.join(twin, ["v", "h"])
     single = (F.col("dist") == 0) & (F.col("rnk") == 0)
-    last_slot = slots.groupBy("v").agg(F.max_by("h", "slot").alias("way"))
+    last_slot = slots.groupBy("v").agg(F.max_by("h", F.struct("slot", "h")).alias("way"))
     kept = both.filter((F.col("first_v") < F.col("ev")) | (F.col("first_v") == F.col("ev"))).join(last_slot, "v", "left")
     kept = kept.filter(F.when(single, F.col("h") == F.coalesce("way", F.lit(False))).otherwise((F.col("first_v") < F.col("ev")) | ~F.col("h")))
     return kept.select("v", "h", F.col("first_v").alias("group_id"), "rnk", (F.col("dist") == 0).alias("last"), "is_cycle")

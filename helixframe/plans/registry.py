@@ -217,11 +217,84 @@ filtered AS (SELECT c.* FROM contigs c ANTI JOIN (SELECT contig_id FROM losers J
 _CONTIG_GRAPH = f"""{_FILTERED},
 body AS (SELECT * FROM filtered WHERE NOT (length(seq) <= {K - 1 + PARAMETERS.tip_t} AND (in_nb IS NULL OR out_nb IS NULL))),
 contig_graph AS (
-    SELECT src, src_h, dst, dst_h, CAST(NULL AS VARCHAR) AS contig_id, 0 AS length FROM typed WHERE src_type = 3 AND dst_type = 3
+    SELECT src, src_h, dst, dst_h, CAST(NULL AS VARCHAR) AS contig_id, false AS rev, 0 AS length, slot FROM typed WHERE src_type = 3 AND dst_type = 3
     UNION ALL
-    SELECT in_nb, in_h, out_nb, out_h, contig_id, CAST(length(seq) AS INT) FROM body WHERE in_nb IS NOT NULL
+    SELECT in_nb, in_h, out_nb, out_h, contig_id, false, CAST(length(seq) AS INT), 68 FROM body WHERE in_nb IS NOT NULL
     UNION ALL
-    SELECT out_nb, NOT out_h, in_nb, NOT in_h, contig_id, CAST(length(seq) AS INT) FROM body WHERE out_nb IS NOT NULL)"""
+    SELECT out_nb, NOT out_h, in_nb, NOT in_h, contig_id, true, CAST(length(seq) AS INT), 64 FROM body WHERE out_nb IS NOT NULL)"""
+
+#: Rounds of tip removal written out in SQL. A round without an open dead end changes nothing; no table of the driver's needs more.
+TIP_ROUNDS = 6
+
+_KIND = "CASE WHEN count(*) = 1 THEN 1 WHEN count(*) = 2 AND count(*) FILTER (src_h) = 1 THEN 2 ELSE 3 END"
+
+
+def _tip_round(i: int) -> str:
+    """graph{i} and states{i} from those of the round before: probes walk from open dead ends over open unambiguous vertices."""
+    return f""",
+probe{i} AS MATERIALIZED (
+    SELECT g.src AS v, g.src_h AS h, o.vtype AS src_type, g.dst, d.status AS dst_status, g.length, coalesce(d.vtype = 2 AND d.status = 'normal', false) AS inner_dst, g.dst_h
+    FROM graph{i - 1} g JOIN states{i - 1} o ON o.v = g.src AND o.status = 'normal' AND o.vtype <> 3 LEFT JOIN states{i - 1} d ON d.v = g.dst),
+steps{i} AS (
+    SELECT v AS hv, h AS hh, v, h, CAST(0 AS BIGINT) AS dist FROM probe{i} WHERE src_type = 1
+    UNION ALL
+    SELECT s.hv, s.hh, p.dst, p.dst_h, s.dist + p.length + 1 FROM steps{i} s JOIN probe{i} p ON p.v = s.v AND p.h = s.h WHERE p.inner_dst),
+verdicts{i} AS MATERIALIZED (
+    SELECT s.hv, s.hh, CASE WHEN coalesce(dst_status, 'normal') <> 'normal' THEN dst_status
+                            WHEN 1 + s.dist + p.length + (p.dst IS NOT NULL)::INT <= {K - 1 + PARAMETERS.tip_t} THEN 'deleted' ELSE 'finished' END AS verdict
+    FROM steps{i} s JOIN probe{i} p ON p.v = s.v AND p.h = s.h WHERE NOT p.inner_dst),
+marked{i} AS MATERIALIZED (
+    SELECT s.v, s.vtype, coalesce(j.verdict, s.status) AS status
+    FROM states{i - 1} s LEFT JOIN (SELECT DISTINCT v, verdict FROM steps{i} JOIN verdicts{i} USING (hv, hh)) j ON j.v = s.v),
+gone{i} AS MATERIALIZED (SELECT v FROM marked{i} WHERE status = 'deleted'),
+graph{i} AS MATERIALIZED (SELECT * FROM graph{i - 1} WHERE src NOT IN (SELECT v FROM gone{i}) AND (dst IS NULL OR dst NOT IN (SELECT v FROM gone{i}))),
+states{i} AS MATERIALIZED (
+    SELECT m.v, CAST(CASE WHEN m.status = 'normal' THEN coalesce(n.vtype, 3) ELSE m.vtype END AS INT) AS vtype, m.status
+    FROM marked{i} m LEFT JOIN (SELECT src AS v, {_KIND} AS vtype FROM graph{i} GROUP BY src) n ON n.v = m.v WHERE m.status <> 'deleted')"""
+
+
+_TIPS = f"""{_CONTIG_GRAPH},
+graph0 AS MATERIALIZED (SELECT * FROM contig_graph),
+states0 AS MATERIALIZED (SELECT src AS v, CAST({_KIND} AS INT) AS vtype, 'normal' AS status FROM graph0 GROUP BY src){"".join(map(_tip_round, range(1, TIP_ROUNDS + 1)))},
+pruned AS MATERIALIZED (SELECT * FROM graph{TIP_ROUNDS}),
+states AS MATERIALIZED (SELECT * FROM states{TIP_ROUNDS})"""
+
+#: The groups of unambiguous vertices left after tips, walked as the paths are; circles are missing, which the derived reads do not have.
+_GROUPS = f"""{_TIPS},
+g_succ AS MATERIALIZED (
+    SELECT g.src AS v, g.src_h AS h, g.dst AS nv, g.dst_h AS nh FROM pruned g JOIN states a ON a.v = g.src JOIN states b ON b.v = g.dst WHERE a.vtype <> 3 AND b.vtype <> 3),
+g_nodes AS (SELECT v, h FROM states, (VALUES (false), (true)) AS t(h) WHERE vtype <> 3),
+g_walk AS (
+    SELECT v AS hv, h AS hh, v, h, CAST(0 AS BIGINT) AS rnk FROM g_nodes n ANTI JOIN g_succ s ON s.nv = n.v AND s.nh = n.h
+    UNION ALL
+    SELECT w.hv, w.hh, s.nv, s.nh, w.rnk + 1 FROM g_walk w JOIN g_succ s ON s.v = w.v AND s.h = w.h),
+g_tails AS (SELECT hv, hh, arg_max(v, rnk) AS tv, min(v) AS least FROM g_walk GROUP BY hv, hh),
+g_way AS (SELECT src AS v, arg_max(src_h, (slot, src_h)) AS h FROM pruned GROUP BY src),
+g_kept AS (SELECT t.* FROM g_tails t LEFT JOIN g_way w ON w.v = t.hv WHERE hv < tv OR (hv = tv AND hh = coalesce(w.h, false))),
+members AS MATERIALIZED (SELECT k.hv AS group_id, k.least, w.v, w.h, w.rnk FROM g_walk w JOIN g_kept k USING (hv, hh))"""
+
+_ASSEMBLED = f"""{_GROUPS},
+pieces AS MATERIALIZED (
+    SELECT group_id, 2 * rnk AS pos, NULL AS contig_id, CASE WHEN h THEN {_RC.format("v")} ELSE v END AS seq FROM members
+    UNION ALL
+    SELECT group_id, 2 * rnk + 1, contig_id, CASE WHEN rev THEN {_RC.format("seq")} ELSE seq END FROM members JOIN pruned ON src = v AND src_h = h JOIN filtered USING (contig_id)
+    UNION ALL
+    SELECT group_id, -1, contig_id, CASE WHEN rev THEN seq ELSE {_RC.format("seq")} END FROM members JOIN pruned ON src = v AND src_h = NOT h JOIN filtered USING (contig_id) WHERE rnk = 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY pos) AS n FROM pieces),
+stitched AS (SELECT string_agg(CASE WHEN n = 1 THEN seq ELSE substr(seq, {K}) END, '' ORDER BY n) AS seq FROM placed GROUP BY group_id),
+beside AS (
+    SELECT seq FROM filtered
+    WHERE contig_id IN (SELECT contig_id FROM pruned JOIN states ON v = src WHERE vtype = 3 AND contig_id IS NOT NULL)
+      AND contig_id NOT IN (SELECT contig_id FROM pieces WHERE contig_id IS NOT NULL)),
+assembled AS (SELECT CAST(length(seq) AS INT) AS length, {_canon("seq")} AS seq FROM (FROM stitched UNION ALL FROM beside) WHERE length(seq) > {PARAMETERS.output_contig_t})"""
+
+
+def _stats_sql(source: str) -> str:
+    return f"""lengths AS (SELECT length(seq) AS n, count(*) AS times FROM {source} GROUP BY 1),
+        longest_first AS (SELECT n, times, sum(n * times) OVER (ORDER BY n DESC) AS so_far, sum(n * times) OVER () AS total FROM lengths)
+        SELECT CAST(coalesce(sum(times), 0) AS BIGINT) AS n_sequences, CAST(coalesce(sum(n * times), 0) AS BIGINT) AS total_bases, CAST(coalesce(max(n), 0) AS INT) AS longest,
+               CAST(coalesce(max(n) FILTER (2 * so_far >= total), 0) AS INT) AS n50 FROM longest_first"""
+
 
 _SV = f"""{_WALKS},
 members AS (SELECT hv, hh, v FROM walk),
@@ -251,11 +324,15 @@ ORACLES: dict[str, str] = {
     "bubble_pairs": f"WITH RECURSIVE {_BUBBLES} SELECT * FROM pairs",
     "bubble_filter": f"WITH RECURSIVE {_FILTERED} SELECT contig_id, CAST(length(seq) AS INT) AS length, {_canon('seq')} AS seq FROM filtered",
     "tip_contigs": f"WITH RECURSIVE {_FILTERED} SELECT contig_id, CAST(length(seq) AS INT) AS length FROM filtered WHERE length(seq) <= {K - 1 + PARAMETERS.tip_t} AND (in_nb IS NULL OR out_nb IS NULL)",
-    "contig_graph": f"WITH RECURSIVE {_CONTIG_GRAPH} SELECT * FROM contig_graph",
-    "contig_stats": f"""WITH RECURSIVE {_FILTERED}, lengths AS (SELECT length(seq) AS n, count(*) AS times FROM filtered GROUP BY 1),
-        longest_first AS (SELECT n, times, sum(n * times) OVER (ORDER BY n DESC) AS so_far, sum(n * times) OVER () AS total FROM lengths)
-        SELECT CAST(coalesce(sum(times), 0) AS BIGINT) AS n_sequences, CAST(coalesce(sum(n * times), 0) AS BIGINT) AS total_bases, CAST(coalesce(max(n), 0) AS INT) AS longest,
-               CAST(coalesce(max(n) FILTER (2 * so_far >= total), 0) AS INT) AS n50 FROM longest_first""",
+    "contig_graph": f"WITH RECURSIVE {_CONTIG_GRAPH} SELECT src, src_h, dst, dst_h, contig_id, length FROM contig_graph",
+    "tip_removal": f"WITH RECURSIVE {_TIPS} SELECT * FROM states",
+    "tip_removal_edges": f"WITH RECURSIVE {_TIPS} SELECT src, src_h, dst, dst_h, contig_id, length FROM pruned",
+    "ambi_groups": f"WITH RECURSIVE {_GROUPS} SELECT v, group_id, false AS is_cycle FROM members",
+    "ambi_components": f"WITH RECURSIVE {_GROUPS} SELECT v, least AS group_id FROM members",
+    "assemble": f"WITH RECURSIVE {_ASSEMBLED} SELECT * FROM assembled",
+    "assemble_fasta": f"WITH RECURSIVE {_ASSEMBLED} SELECT concat('>contig-', row_number() OVER (ORDER BY seq), chr(10), seq) AS value FROM assembled",
+    "assembly_stats": f"WITH RECURSIVE {_ASSEMBLED}, {_stats_sql('assembled')}",
+    "contig_stats": f"WITH RECURSIVE {_FILTERED}, {_stats_sql('filtered')}",
     "terasort_order": "SELECT l_extendedprice, l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) - 1 AS pos FROM lineitem",
     "pregel_min_label": """WITH m AS (SELECT c_nationkey + 1000000 AS b, min(c_custkey) AS label FROM customer GROUP BY 1)
         SELECT c_custkey AS id, label FROM customer JOIN m ON b = c_nationkey + 1000000 UNION ALL SELECT CAST(b AS BIGINT), label FROM m""",

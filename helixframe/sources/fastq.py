@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.sort import with_position
 from helixframe.storage import stage
 
 #: Blocks of files whose line offsets are broadcast; beyond, they are joined.
@@ -54,10 +55,9 @@ def fasta(assembly: DataFrame) -> DataFrame:
 
 
 def named(assembly: DataFrame) -> DataFrame:
-    """Adds names contig-<partition>-<number>, the number counting from 1 in each partition, in order of the sequence."""
-    dealt = assembly.repartitionByRange("seq").withColumn("__p", F.spark_partition_id())
-    number = F.row_number().over(Window.partitionBy("__p").orderBy("seq"))
-    return dealt.withColumn("name", F.concat_ws("-", F.lit("contig"), "__p", number)).drop("__p")
+    """Adds names contig-<number>, numbered from 1 in order of the sequence, so the same sequences get the same names anywhere."""
+    placed = with_position(assembly, "seq", name="__n")
+    return placed.withColumn("name", F.concat(F.lit("contig-"), F.col("__n") + 1)).drop("__n")
 
 
 def write_fasta(assembly: DataFrame, path: str) -> None:
