@@ -16,6 +16,8 @@ from helixframe.storage import table
 
 K = 21
 PARAMETERS = Parameters(k_mer_t=K, freq_t=1, bubble_t=1, tip_t=K, output_contig_t=100)
+#: Tips of the derived reads that outlast tip_t are longer; up to this length they are removed from the same contig graph by queries of their own.
+LONG_TIP = 2000
 
 #: A genome of 32-base blocks from MD5 sums with a repeat in each 40th, and a read of 70 bases a row, some with a wrong base, every
 #: second on the other strand. Spark and DuckDB understand the same text.
@@ -131,6 +133,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "contig_graph": lambda s, d: assembly(s, d).graph.select("src", "src_h", "dst", "dst_h", "contig_id", "length"),
     "tip_removal": lambda s, d: assembly(s, d).pruned[1],
     "tip_removal_edges": lambda s, d: assembly(s, d).pruned[0].select("src", "src_h", "dst", "dst_h", "contig_id", "length"),
+    "tip_removal_long": lambda s, d: simplify.remove_tips(assembly(s, d).graph, K, LONG_TIP)[1],
+    "tip_removal_long_edges": lambda s, d: simplify.remove_tips(assembly(s, d).graph, K, LONG_TIP)[0].select("src", "src_h", "dst", "dst_h", "contig_id", "length"),
     "ambi_groups": lambda s, d: assembly(s, d).groups.select("v", "group_id", "is_cycle"),
     "ambi_components": lambda s, d: simplify.group_components(*assembly(s, d).pruned),
     "assemble": lambda s, d: _strandless(assembly(s, d).sequences.select("length", "seq")),
@@ -229,7 +233,7 @@ TIP_ROUNDS = 6
 _KIND = "CASE WHEN count(*) = 1 THEN 1 WHEN count(*) = 2 AND count(*) FILTER (src_h) = 1 THEN 2 ELSE 3 END"
 
 
-def _tip_round(i: int) -> str:
+def _tip_round(i: int, tip_t: int) -> str:
     """graph{i} and states{i} from those of the round before: probes walk from open dead ends over open unambiguous vertices."""
     return f""",
 probe{i} AS MATERIALIZED (
@@ -241,7 +245,7 @@ steps{i} AS (
     SELECT s.hv, s.hh, p.dst, p.dst_h, s.dist + p.length + 1 FROM steps{i} s JOIN probe{i} p ON p.v = s.v AND p.h = s.h WHERE p.inner_dst),
 verdicts{i} AS MATERIALIZED (
     SELECT s.hv, s.hh, CASE WHEN coalesce(dst_status, 'normal') <> 'normal' THEN dst_status
-                            WHEN 1 + s.dist + p.length + (p.dst IS NOT NULL)::INT <= {K - 1 + PARAMETERS.tip_t} THEN 'deleted' ELSE 'finished' END AS verdict
+                            WHEN 1 + s.dist + p.length + (p.dst IS NOT NULL)::INT <= {K - 1 + tip_t} THEN 'deleted' ELSE 'finished' END AS verdict
     FROM steps{i} s JOIN probe{i} p ON p.v = s.v AND p.h = s.h WHERE NOT p.inner_dst),
 marked{i} AS MATERIALIZED (
     SELECT s.v, s.vtype, coalesce(j.verdict, s.status) AS status
@@ -253,12 +257,16 @@ states{i} AS MATERIALIZED (
     FROM marked{i} m LEFT JOIN (SELECT src AS v, {_KIND} AS vtype FROM graph{i} GROUP BY src) n ON n.v = m.v WHERE m.status <> 'deleted')"""
 
 
-_TIPS = f"""{_CONTIG_GRAPH},
+def _tips(tip_t: int) -> str:
+    return f"""{_CONTIG_GRAPH},
 graph0 AS MATERIALIZED (SELECT * FROM contig_graph),
-states0 AS MATERIALIZED (SELECT src AS v, CAST({_KIND} AS INT) AS vtype, 'normal' AS status FROM graph0 GROUP BY src){"".join(map(_tip_round, range(1, TIP_ROUNDS + 1)))},
+states0 AS MATERIALIZED (SELECT src AS v, CAST({_KIND} AS INT) AS vtype, 'normal' AS status FROM graph0 GROUP BY src){"".join(_tip_round(i, tip_t) for i in range(1, TIP_ROUNDS + 1))},
 pruned AS MATERIALIZED (SELECT * FROM graph{TIP_ROUNDS}),
 states AS MATERIALIZED (SELECT * FROM states{TIP_ROUNDS})"""
 
+
+_TIPS = _tips(PARAMETERS.tip_t)
+
 #: The groups of unambiguous vertices left after tips, walked as the paths are; circles are missing, which the derived reads do not have.
 _GROUPS = f"""{_TIPS},
 g_succ AS MATERIALIZED (
@@ -327,6 +335,8 @@ ORACLES: dict[str, str] = {
     "contig_graph": f"WITH RECURSIVE {_CONTIG_GRAPH} SELECT src, src_h, dst, dst_h, contig_id, length FROM contig_graph",
     "tip_removal": f"WITH RECURSIVE {_TIPS} SELECT * FROM states",
     "tip_removal_edges": f"WITH RECURSIVE {_TIPS} SELECT src, src_h, dst, dst_h, contig_id, length FROM pruned",
+    "tip_removal_long": f"WITH RECURSIVE {_tips(LONG_TIP)} SELECT * FROM states",
+    "tip_removal_long_edges": f"WITH RECURSIVE {_tips(LONG_TIP)} SELECT src, src_h, dst, dst_h, contig_id, length FROM pruned",
     "ambi_groups": f"WITH RECURSIVE {_GROUPS} SELECT v, group_id, false AS is_cycle FROM members",
     "ambi_components": f"WITH RECURSIVE {_GROUPS} SELECT v, least AS group_id FROM members",
     "assemble": f"WITH RECURSIVE {_ASSEMBLED} SELECT * FROM assembled",
