@@ -59,6 +59,34 @@ def unpack(code: ColumnOrName, k: int) -> Column:
     return F.translate(F.lpad(F.conv(_c(code).cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
+def varints(numbers: ColumnOrName) -> Column:
+    """An array of numbers from 0 as bytes: each in groups of seven bits, lowest first, the last of them with the high bit set."""
+
+    def groups(n: Column) -> Column:
+        last = F.floor((F.length(F.bin(n)) - 1) / 7).cast("int")
+        byte = lambda i: F.call_function("shiftright", n.cast("long"), i * 7).bitwiseAND(F.lit(127)) + F.when(i == last, 128).otherwise(0)
+        return F.array_join(F.transform(F.sequence(F.lit(0), last), lambda i: F.lpad(F.hex(byte(i)), 2, "0")), "")
+
+    return F.unhex(F.array_join(F.transform(_c(numbers), groups), ""))
+
+
+def from_varints(data: ColumnOrName) -> Column:
+    """The numbers that varints() has written; bytes of a number without its last are left out."""
+    text = F.hex(_c(data))
+    count = (F.length(text) / 2).cast("int")
+    places = F.when(count > 0, F.sequence(F.lit(1), count)).when(count == 0, F.array().cast("array<int>"))
+    start = F.struct(F.array().cast("array<long>").alias("out"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("shift"))
+
+    def step(acc: Column, i: Column) -> Column:
+        byte = F.conv(F.substr(text, i * 2 - 1, F.lit(2)), 16, 10).cast("long")
+        n = acc["n"] + F.call_function("shiftleft", byte.bitwiseAND(F.lit(127)), acc["shift"])
+        more = F.struct(acc["out"].alias("out"), n.alias("n"), (acc["shift"] + 7).alias("shift"))
+        ended = F.struct(F.concat(acc["out"], F.array(n)).alias("out"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("shift"))
+        return F.when(byte >= 128, ended).otherwise(more)
+
+    return F.aggregate(places, start, step, lambda acc: acc["out"])
+
+
 def edit_distance(a: ColumnOrName, b: ColumnOrName, most: int | None = None) -> Column:
     """Unit-cost edit distance; -1 beyond `most`."""
     return F.levenshtein(_c(a), _c(b)) if most is None else F.levenshtein(_c(a), _c(b), most)

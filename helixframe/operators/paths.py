@@ -12,25 +12,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.operators.components import connected_components
-from helixframe.storage import stage
+from helixframe.storage import drop, drop_part, stage
 
 
 def jump(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ends, circular) from (v, h, nv, nh, w): successor nv, nh, or null, and the weight of that step.
 
-    ends: (v, h, ev, eh, dist), the last node from each and the weight to it. circular: (v, h), the nodes that have no end.
+    ends: (v, h, ev, eh, dist), the last node from each and the weight to it. circular: (v, h), the nodes that have no end. Both are
+    staged; the rounds' tables are deleted, the active nodes of a round as soon as the next is written.
     """
     start = nodes.select("v", "h", F.coalesce("nv", "v").alias("pv"), F.coalesce("nh", "h").alias("ph"), F.when(F.col("nv").isNull(), 0).otherwise(F.col("w")).cast("long").alias("dist"), F.col("nv").isNull().alias("done"))
-    active = stage(start, "jump")
-    finished = [active.filter("done")]
-    active = active.filter("not done")
+    tables = [stage(start, "jump", "done")]
+    finished = [tables[0].filter("done")]
+    active = tables[0].filter("not done")
     while True:
         state = reduce(DataFrame.union, [*finished, active])
         target = state.select(F.col("v").alias("pv"), F.col("h").alias("ph"), F.col("pv").alias("qv"), F.col("ph").alias("qh"), F.col("dist").alias("more"), F.col("done").alias("reached"))
         moved = active.drop("done").join(target, ["pv", "ph"])
-        moved = stage(moved.select("v", "h", F.col("qv").alias("pv"), F.col("qh").alias("ph"), (F.col("dist") + F.col("more")).alias("dist"), F.col("reached").alias("done")), "jump")
+        moved = stage(moved.select("v", "h", F.col("qv").alias("pv"), F.col("qh").alias("ph"), (F.col("dist") + F.col("more")).alias("dist"), F.col("reached").alias("done")), "jump", "done")
         if moved.filter("done").isEmpty():  # each round some node of every open path ends, so only circles are left
-            return reduce(DataFrame.union, finished).select("v", "h", F.col("pv").alias("ev"), F.col("ph").alias("eh"), "dist"), active.select("v", "h")
+            ends = stage(reduce(DataFrame.union, finished).select("v", "h", F.col("pv").alias("ev"), F.col("ph").alias("eh"), "dist"), "ends")
+            circular = stage(active.select("v", "h"), "circular")
+            drop(moved, *tables)
+            return ends, circular
+        drop_part(tables[-1], "done", "false")
+        tables.append(moved)
         finished.append(moved.filter("done"))
         active = moved.filter("not done")
 
@@ -56,9 +62,11 @@ def ranked(nodes: DataFrame, slots: DataFrame) -> DataFrame:
     ends, circular = jump(steps)
     rows = ends.withColumn("is_cycle", F.lit(False))
     if not circular.isEmpty():
-        more, _ = jump(stage(cut_circles(steps, circular, slots), "cut"))
+        cut = stage(cut_circles(steps, circular, slots), "cut")
+        more, none = jump(cut)
+        drop(cut, none)
         rows = rows.union(more.withColumn("is_cycle", F.lit(True)))
-    rows = stage(rows, "ends")
+    drop(circular)
     twin = rows.select("v", (~F.col("h")).alias("h"), F.col("ev").alias("first_v"), F.col("dist").alias("rnk"))
     both = rows.join(twin, ["v", "h"])
     single = (F.col("dist") == 0) & (F.col("rnk") == 0)
@@ -82,7 +90,10 @@ def slots_of(edge_rows: DataFrame) -> DataFrame:
 def list_rank(typed_edges: DataFrame, vertex_rows: DataFrame) -> DataFrame:
     """Groups of unambiguous vertices, by pointer jumping: the id is the smaller end, in a circle the smallest vertex."""
     members = vertex_rows.filter("vtype <> 3").select("v")
-    return ranked(stage(inner_nodes(typed_edges, members), "nodes"), slots_of(typed_edges.filter("src_type <> 3")))
+    nodes = stage(inner_nodes(typed_edges, members), "nodes")
+    out = ranked(nodes, slots_of(typed_edges.filter("src_type <> 3")))
+    drop(nodes)
+    return out
 
 
 def path_components(typed_edges: DataFrame, vertex_rows: DataFrame) -> DataFrame:

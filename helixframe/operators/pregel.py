@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.storage import stage
+from helixframe.storage import drop, stage
 
 Compute = Callable[[DataFrame, int, dict[str, Any]], DataFrame]
 Send = Callable[[DataFrame, int], DataFrame]
@@ -41,12 +41,12 @@ def run(
     gives messages (dst, ...), of which those to unknown ids are dropped. phases: so many times, or while the function of the
     phase from 1 and the vertices is true, all vertices are woken and the supersteps start anew. A phase that needs more than
     max_supersteps, if given, is an error. report: gets (phase, superstep,
-    partition, messages) rows.
+    partition, messages) rows. A superstep's tables are deleted when the next state is written.
     """
     if "active" not in vertices.columns:
         vertices = vertices.withColumn("active", F.lit(True))
     state, phase = stage(vertices, "vertices"), 1
-    columns = state.columns
+    columns, kept = state.columns, state
     go_on = phases if callable(phases) else (lambda number, _: number <= phases)
     while go_on(phase, state):
         if phase > 1:
@@ -64,12 +64,15 @@ def run(
             updated = stage(compute(computed, step, found).select(*columns), "computed")
             if aggregators:
                 found = updated.agg(*(c.alias(n) for n, c in aggregators.items())).first().asDict()
-            messages = stage(send(updated, step), "messages")
+            received, messages = messages, stage(send(updated, step), "messages")
             if report is not None:
                 sent = messages.groupBy(F.spark_partition_id().alias("p")).count().orderBy("p").collect()  # a row a partition
                 report.extend((phase, step, p, n) for p, n in sent)
             state = stage(updated.unionByName(idle), "vertices")
+            drop(kept, updated, *([received] if received is not None else []))
+            kept = state
             if stop(step, found) or (messages.isEmpty() and state.filter("active").isEmpty()):
                 break
+        drop(messages)
         phase += 1
     return state

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
 from helixframe.operators import dbg, paths
-from helixframe.storage import stage
+from helixframe.storage import drop, stage
 
 
 def tip_contigs(contigs: DataFrame, k: int, tip_t: int) -> DataFrame:
@@ -41,14 +41,16 @@ def _probe(graph: DataFrame, states: DataFrame, most: int) -> DataFrame:
     rows = stage(graph.join(open_, "src").join(kind, "dst", "left"), "probe")
     on = (F.col("dst_type") == 2) & (F.col("dst_status") == "normal")
     succ = rows.select(F.col("src").alias("v"), F.col("src_h").alias("h"), "src_type", F.when(on, F.col("dst")).alias("nv"), F.when(on, F.col("dst_h")).alias("nh"), (F.col("length") + 1).alias("w"))
-    ends, _ = paths.jump(succ.select("v", "h", "nv", "nh", "w"))
+    ends, circular = paths.jump(succ.select("v", "h", "nv", "nh", "w"))
     final = rows.select(F.col("src").alias("ev"), F.col("src_h").alias("eh"), "dst", "dst_status", (F.col("length") + F.when(F.col("dst").isNull(), 0).otherwise(1)).alias("step"))
     heads = succ.filter("src_type = 1").select("v", "h").join(ends, ["v", "h"]).join(final, ["ev", "eh"])
     short = 1 + F.col("dist") + F.col("step") <= most
     verdict = F.when(F.coalesce("dst_status", F.lit("normal")) != "normal", F.col("dst_status")).when(short, "deleted").otherwise("finished")
     judged = heads.select(F.col("ev").alias("v"), F.col("eh").alias("h"), verdict.alias("verdict"))
     walks = ends.select(F.col("v").alias("member"), F.col("ev").alias("v"), F.col("eh").alias("h"))
-    return walks.join(judged, ["v", "h"]).select(F.col("member").alias("v"), "verdict").distinct()
+    out = stage(walks.join(judged, ["v", "h"]).select(F.col("member").alias("v"), "verdict").distinct(), "verdicts")
+    drop(rows, ends, circular)
+    return out
 
 
 def remove_tips(graph: DataFrame, k: int, tip_t: int) -> tuple[DataFrame, DataFrame]:
@@ -64,11 +66,14 @@ def remove_tips(graph: DataFrame, k: int, tip_t: int) -> tuple[DataFrame, DataFr
         marked = stage(all_.join(verdicts, "v", "left").select("v", "vtype", F.coalesce("verdict", "status").alias("status")), "states")
         gone = marked.filter("status = 'deleted'").select("v")
         left = now.join(gone.withColumnRenamed("v", "src"), "src", "left_anti").join(gone.withColumnRenamed("v", "dst"), "dst", "left_anti")
-        now = stage(left.select(*graph.columns), "graph")
+        pruned = stage(left.select(*graph.columns), "graph")
+        drop(now, all_, verdicts)
+        now = pruned
         again = vertex_states(now).select("v", F.col("vtype").alias("new"))
         kept = marked.filter("status <> 'deleted'").join(again, "v", "left")
         retyped = F.when(F.col("status") == "normal", F.coalesce("new", F.lit(dbg.AMBIGUOUS))).otherwise(F.col("vtype"))
         all_ = stage(kept.select("v", retyped.alias("vtype"), "status"), "states")
+        drop(marked)
     return now, all_
 
 

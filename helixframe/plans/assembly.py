@@ -7,7 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from helixframe.operators import contigs, dbg, kmers, paths, simplify
-from helixframe.sources.config import Parameters
+from helixframe.sources.config import PATHS, Parameters
+from helixframe.sources.fastq import named, write_fasta
 from helixframe.storage import stage
 
 
@@ -60,7 +61,7 @@ class Assembly:
 
     @cached_property
     def graph(self) -> DataFrame:
-        return stage(simplify.contig_graph(dbg.ambiguous_edges(self.typed), self.filtered, self.k, self.p.tip_t), "contig_graph")
+        return stage(simplify.contig_graph(self.ambiguous, self.filtered, self.k, self.p.tip_t), "contig_graph")
 
     @cached_property
     def pruned(self) -> tuple[DataFrame, DataFrame]:
@@ -74,12 +75,33 @@ class Assembly:
     def sequences(self) -> DataFrame:
         return simplify.merge(self.filtered, *self.pruned, self.groups, self.k, self.p.output_contig_t, self.emit_isolated)
 
+    @property
+    def ambiguous(self) -> DataFrame:
+        return dbg.ambiguous_edges(self.typed)
+
+    @property
+    def pruned_graph(self) -> DataFrame:
+        return self.pruned[0]
+
+    @property
+    def pruned_states(self) -> DataFrame:
+        return self.pruned[1]
+
     def write(self, path: str) -> None:
         """The tables as Parquet folders of these names, with the graph and vertices left after tips, replacing older ones."""
-        for name in self.TABLES:
+        for name in (*self.TABLES, "pruned_graph", "pruned_states"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        for name, part in zip(("pruned_graph", "pruned_states"), self.pruned, strict=True):
-            part.write.mode("overwrite").parquet(f"{path}/{name}")
+
+    def write_each(self, paths: dict[str, str]) -> None:
+        """Keep the tables of each key of config.PATHS in its folder, and the sequences as FASTA in theirs, replacing older ones."""
+        for key, names in PATHS.items():
+            if key not in paths or names == ("reads",):
+                continue
+            if names == ("sequences",):
+                write_fasta(named(self.sequences), paths[key])
+                continue
+            for name in names:
+                getattr(self, name).write.mode("overwrite").parquet(f"{paths[key]}/{name}")
 
     def load(self, path: str) -> Assembly:
         """Take the tables from where write() has put them; reads are not needed then."""

@@ -47,6 +47,35 @@ def write_ini(values: dict[str, str]) -> str:
     return "".join(f"[{s}]\n{''.join(lines)}\n" for s, lines in sections.items())
 
 
+#: The keys of paths in a configuration, and the tables of an Assembly that each one keeps.
+PATHS = {
+    "HDFS_INPUT_PATH": ("reads",),
+    "DeBruijn_PATH": ("kplus", "vertices"),
+    "KmerLink_PATH": ("ranks",),
+    "AmbVtx_PATH": ("ambiguous",),
+    "NoBubble_PATH": ("contigs",),
+    "Contig_PATH": ("filtered",),
+    "AmbConnect_PATH": ("graph",),
+    "NoTip_PATH": ("pruned_graph", "pruned_states"),
+    "AmbLink_PATH": ("groups",),
+    "HDFS_OUTPUT_PATH": ("sequences",),
+}
+
+
+def load_paths(text: str, section: str) -> dict[str, str]:
+    """The paths that a configuration gives, by their keys as spelled in PATHS."""
+    values = read_ini(text)
+    return {key: path for key in PATHS if (path := values.get(f"{section.lower()}:{key.lower()}"))}
+
+
+def only_section(text: str) -> str:
+    """The section of a configuration that has one."""
+    sections = {name.partition(":")[0] for name in read_ini(text)}
+    if len(sections) != 1:
+        raise ValueError(f"name one of the sections {sorted(sections)}")
+    return sections.pop()
+
+
 @dataclass(frozen=True)
 class Parameters:
     """k-mer length, least count of a (k+1)-mer, edit distance of bubbles, tip length, and length that output must exceed."""

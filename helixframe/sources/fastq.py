@@ -29,8 +29,8 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 
 
 def put_fastq(spark: SparkSession, source: str, target: str) -> None:
-    """Write one read a line; fails if the target exists."""
-    read_fastq(spark, source).orderBy("file", "read_id").select("seq").write.mode("errorifexists").text(target)
+    """Write one read a line, the reads of each split in their order and without a shuffle; fails if the target exists."""
+    read_fastq(spark, source).sortWithinPartitions("file", "read_id").select("seq").write.mode("errorifexists").text(target)
 
 
 def put(spark: SparkSession, source: str, target: str, force: bool = False, lines_a_file: int | None = None) -> None:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch at most, since a row may hold a whole text.
 BATCH_ROWS = 1000
+LOG = logging.getLogger("helixframe")
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -29,11 +32,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/helixframe/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+def stage(df: DataFrame, label: str, part: str | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    part: its last column, by whose values the table is split into folders, which drop_part() deletes one by one. Each table's
+    label and seconds go to the log at level INFO, so every round of a loop shows there.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    began = time.monotonic()
+    (df.write.partitionBy(part) if part else df.write).parquet(path)
+    LOG.info("%s: %.1f s", label, time.monotonic() - began)
     made = spark.read.schema(df.schema).parquet(path)
     made.staged_path = path
     return made
@@ -46,6 +55,11 @@ def drop(*tables: DataFrame) -> None:
             drop_path(df.sparkSession, path)
 
 
+def drop_part(df: DataFrame, part: str, value: str) -> None:
+    """Delete the rows with that value of a table that stage() has split."""
+    drop_path(df.sparkSession, f"{df.staged_path}/{part}={value}")
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
