@@ -227,7 +227,7 @@ contig_graph AS (
     UNION ALL
     SELECT out_nb, NOT out_h, in_nb, NOT in_h, contig_id, true, CAST(length(seq) AS INT), 64 FROM body WHERE out_nb IS NOT NULL)"""
 
-#: Rounds of tip removal written out in SQL. A round without an open dead end changes nothing; no table of the driver's needs more.
+#: Rounds of tip removal written out in SQL. A round without an open dead end changes nothing; on sf0.01 one round removes something.
 TIP_ROUNDS = 6
 
 _KIND = "CASE WHEN count(*) = 1 THEN 1 WHEN count(*) = 2 AND count(*) FILTER (src_h) = 1 THEN 2 ELSE 3 END"
