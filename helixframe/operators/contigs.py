@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
-from helixframe.storage import prepare
 
 #: A pruned contig longer than this is kept all the same.
 LONG = 10_000
@@ -56,24 +54,15 @@ def bubble_pairs(contigs: DataFrame, bubble_t: int) -> DataFrame:
     return pairs.select("nb1", "nb2", "a", "b", "a_freq", "b_freq", near.alias("near"))
 
 
-def _prune(pairs: pd.DataFrame) -> pd.DataFrame:
-    """In order of a, then b: the rarer of two near contigs goes, of equal ones the earlier, which then is done; a gone one is no a."""
-    gone: set[str] = set()
-    stopped: set[str] = set()
-    for a, b, a_freq, b_freq, near in sorted(pairs[["a", "b", "a_freq", "b_freq", "near"]].itertuples(index=False)):
-        if not near or a in gone or a in stopped:
-            continue
-        if a_freq > b_freq:
-            gone.add(b)
-        else:
-            gone.add(a)
-            stopped.add(a)
-    return pd.DataFrame({"contig_id": sorted(gone)}, dtype=object)
-
-
 def bubble_filter(contigs: DataFrame, bubble_t: int, long: int = LONG) -> DataFrame:
     """The contigs without the losers of bubbles. Contigs compare in ascending order of their ids."""
-    prepare(contigs.sparkSession)
-    gone = bubble_pairs(contigs, bubble_t).groupBy("nb1", "nb2").applyInPandas(_prune, "contig_id string")
+    pairs = bubble_pairs(contigs, bubble_t).filter("near").groupBy("nb1", "nb2").agg(F.sort_array(F.collect_list(F.struct("a", "b", "a_freq", "b_freq"))).alias("pairs"))
+
+    def judge(gone: Column, pair: Column) -> Column:
+        """The rarer of two near contigs goes, of equal ones the earlier; one that is gone is compared no more."""
+        loser = F.when(pair["a_freq"] > pair["b_freq"], pair["b"]).otherwise(pair["a"])
+        return F.when(F.array_contains(gone, pair["a"]), gone).otherwise(F.array_append(gone, loser))
+
+    gone = pairs.select(F.explode(F.aggregate("pairs", F.array().cast("array<string>"), judge)).alias("contig_id"))
     losers = contigs.filter(F.col("length") <= long).select("contig_id").join(gone.distinct(), "contig_id", "left_semi")
     return contigs.join(losers, "contig_id", "left_anti")

@@ -10,8 +10,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch at most, since a row may hold a whole text.
+#: Rows and bytes of an Arrow batch at most, since a row may hold a whole text; a batch of one row may be larger.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
+_DEFAULT_BYTES = "67108864b"  # Spark's; another value was set on purpose
 LOG = logging.getLogger("helixframe")
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -70,6 +72,8 @@ def prepare(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == _DEFAULT_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, env.get("PYTHONPATH", "")]))
 
