@@ -4,7 +4,9 @@ The parser reads variable-length ids and sizes, elements of unknown size, Simple
 all four kinds of lacing, and cue points. Packets hold byte ranges into the file, so payloads are not copied.
 
 Defined results: null bytes give no packets and null values; bytes that are not Matroska, or end inside an
-element, give the packets found so far and `error`; equal rows give equal results, each once; an empty table gives no rows.
+element, give the packets found so far and `error`; so do tracks whose blocks are compressed, encrypted or stripped of headers, as
+their byte ranges do not hold what the track does. A file, however long, is read whole in one task, and its payload is not copied by the parser. Equal rows
+give equal results, each once; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from helixframe.storage import prepare
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 DOC_TYPE, TIMESTAMP_SCALE, DURATION = 0x4282, 0x2AD7B1, 0x4489
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, DEFAULT_DURATION = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x23E383
+TRACK_TIMESTAMP_SCALE, CODEC_DELAY, CONTENT_ENCODINGS = 0x23314F, 0x56AA, 0x6D80
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
@@ -133,8 +136,13 @@ def parse(data: bytes) -> Media:
         _walk(data, out)
     except (Broken, IndexError, struct.error) as e:
         out.error = str(e)
-    spans = {t.get("number"): t.get("default_duration", 0) for t in out.tracks}
-    out.packets = [(track, ticks * out.scale + i * spans.get(track, 0), at, size, key, kind, cluster) for track, ticks, i, at, size, key, kind, cluster in out.packets]
+    tracks = {t.get("number"): t for t in out.tracks}
+    timed = []
+    for track, cluster_ticks, ticks, i, *rest in out.packets:
+        own = tracks.get(track, {})  # a track's scale holds for the block's own ticks; its delay comes off what the blocks say
+        at = cluster_ticks * out.scale + round(ticks * out.scale * own.get("scale", 1.0))
+        timed.append((track, at + i * own.get("default_duration", 0) - own.get("codec_delay", 0), *rest))
+    out.packets = timed
     return out
 
 
@@ -175,19 +183,19 @@ def _walk(data: bytes, out: Media) -> None:
             continue
         if kind in (SIMPLE_BLOCK, BLOCK):
             track, after = read_size(data, body)
-            ticks = cluster_time + struct.unpack_from(">h", data, after)[0]
+            ticks = struct.unpack_from(">h", data, after)[0]
             flags = data[after + 2]
             lacing = flags >> 1 & 3
             sizes, place = lace_sizes(data, after + 3, end, lacing)
             key = bool(flags & 0x80) if kind == SIMPLE_BLOCK else True
             for i, n in enumerate(sizes):
-                out.packets.append((track, ticks, i, place, n, key, lacing, len(out.clusters) - 1))
+                out.packets.append((track, cluster_time, ticks, i, place, n, key, lacing, len(out.clusters) - 1))
                 place += n
             if group is not None:
                 group.append(len(sizes))
         elif kind == REFERENCE_BLOCK and group:
             for i in range(1, group[-1] + 1):
-                out.packets[-i] = (*out.packets[-i][:5], False, *out.packets[-i][6:])
+                out.packets[-i] = (*out.packets[-i][:6], False, *out.packets[-i][7:])
         elif kind == TIMESTAMP:
             cluster_time = int.from_bytes(data[body:end])
         elif kind == TIMESTAMP_SCALE:
@@ -202,6 +210,8 @@ def _walk(data: bytes, out: Media) -> None:
             cue["track"] = int.from_bytes(data[body:end])
         elif kind == CUE_CLUSTER_POSITION:
             out.cues.append((cue.get("time", 0), cue.get("track", 0), int.from_bytes(data[body:end])))
+        elif kind == CONTENT_ENCODINGS:
+            out.error = "content encodings are not undone"
         elif out.tracks and kind in _TRACK_FIELDS:
             name, read = _TRACK_FIELDS[kind]
             out.tracks[-1][name] = read(data[body:end])
@@ -213,6 +223,8 @@ _TRACK_FIELDS = {
     TRACK_TYPE: ("type", int.from_bytes),
     CODEC_ID: ("codec", lambda raw: raw.rstrip(b"\0").decode("ascii", "replace")),
     DEFAULT_DURATION: ("default_duration", int.from_bytes),
+    CODEC_DELAY: ("codec_delay", int.from_bytes),
+    TRACK_TIMESTAMP_SCALE: ("scale", _float),
     SAMPLING_FREQUENCY: ("rate", _float),
     CHANNELS: ("channels", int.from_bytes),
     BIT_DEPTH: ("bits", int.from_bytes),

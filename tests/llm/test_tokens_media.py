@@ -154,6 +154,21 @@ def test_lacing_groups_and_unknown_sizes():
     assert [p[4] for p in found.packets[:7]] == [False] * 6 + [False] and found.packets[6][0] == 2
 
 
+def test_delays_scales_and_encodings_of_tracks():
+    e, m = matroska.element, matroska
+    plain = m.uint(m.TRACK_NUMBER, 1) + m.uint(m.CODEC_DELAY, 6_500_000)
+    scaled = m.uint(m.TRACK_NUMBER, 2) + e(m.TRACK_TIMESTAMP_SCALE, b"\x3f\x00\x00\x00")
+    cluster = e(m.CLUSTER, m.uint(m.TIMESTAMP, 100) + e(m.SIMPLE_BLOCK, b"\x81\x00\x14\x00a") + e(m.SIMPLE_BLOCK, b"\x82\x00\x14\x00b"))
+
+    def file(*tracks):
+        return e(m.EBML, b"") + e(m.SEGMENT, e(m.TRACKS, b"".join(e(m.TRACK_ENTRY, t) for t in tracks)) + cluster)
+
+    found = m.parse(file(plain, scaled))
+    assert found.error is None and [p[1] for p in found.packets] == [113_500_000, 110_000_000]
+    found = m.parse(file(plain + e(m.CONTENT_ENCODINGS, e(0x6240, b"")), scaled))
+    assert "encodings" in found.error and len(found.packets) == 2
+
+
 @pytest.mark.parametrize("cut", [0, 3, 30, 100, 300])
 def test_damaged_files_give_an_error(cut):
     data = matroska.mux(bytes(range(256)) * 8)
