@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import langid, packing, simhash, substring
-from helixframe.storage import drop_path, new_path, table
+from helixframe.storage import drop_path, new_path, shuffles_dropped, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document is rejected without a letter, or if no language has half of the probability.
@@ -55,7 +55,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = None
     for name, stage in STAGES:
         path = new_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        made = stage(spark, docs, sf_dir)
+        with shuffles_dropped(spark):
+            made.write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
             drop_path(spark, before)

@@ -40,9 +40,12 @@ FEW, BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1500, 500_000, 2048
 #: Shingles that prefixes of similar texts share at least, if their sets have so many, as a number and as a share of the set: a larger one
 #: makes prefixes longer, and fewer unlike texts share so many. LOCAL: rows of prefixes that a task compares itself at a time.
 SHARED, SHARE = 4, 0.04
-#: Texts in which frequent shingles are counted, texts of those that hold a frequent one at least, and frequent ones kept at most.
+#: Texts in which frequent shingles are counted, or one in EVERY if that is more; texts of those that hold a frequent one at least, and
+#: frequent ones kept at most. Unlike texts meet at each shingle that is not known as frequent, so what is known has to grow with the table.
 LOCAL = 500_000
-SAMPLE, FREQUENT, MOST = 10_000, 3, 50_000
+SAMPLE, EVERY, FREQUENT, MOST = 10_000, 10, 3, 1_000_000
+#: Bits of a text's parities, which rule out most unlike pairs before their texts are dealt; a power of two, and 64 at least.
+PARITIES = 1024
 
 
 def words(text: str | None) -> list[bytes]:
@@ -214,15 +217,29 @@ def _members(shingle: int):
 def _frequent(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     """Sorted hashes of the shingles that many of some texts hold; any choice gives the same links."""
     body = F.coalesce(docs[text], F.lit("")).alias("text")
-    every = max(1, -(-docs.count() // SAMPLE))
+    every = max(1, min(-(-docs.count() // SAMPLE), EVERY))
     some = docs.select(body).filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
     counts = some.mapInArrow(_members(shingle), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
     found = counts.orderBy(F.col("n").desc(), "h").limit(MOST).select("h").toPandas()
     return np.sort(found["h"].to_numpy(np.int64).view(np.uint64))
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of longs a set: bit i is the parity of its members of kind i. Two sets differ in as many members as their rows in bits, at least."""
+    kind = (np.concatenate(sets) >> np.uint64(65 - PARITIES.bit_length())).astype(np.int64)
+    owner = np.repeat(np.arange(len(sets)), [len(own) for own in sets])
+    odd = np.bincount(owner * PARITIES + kind, minlength=len(sets) * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(sets), PARITIES), axis=1, bitorder="little").view(np.int64)
+
+
+def _alike(a: str, b: str, similarity: float):
+    """Whether sets of size{a} and size{b} may be similar, by their parities in bits{a} and bits{b}: similar ones differ in few members."""
+    differ = F.aggregate(F.zip_with(f"bits{a}", f"bits{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return differ <= (F.col(f"size{a}") + F.col(f"size{b}")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
 def _prints(shingle: int, similarity: float):
-    """Adds to rows of texts their fingerprints, numbers of shingles, and of those that prefixes of similar texts share."""
+    """Adds to rows of texts their fingerprints, numbers of shingles, of those that prefixes of similar texts share, and parities."""
 
     def run(batches):
         for batch in batches:
@@ -231,8 +248,10 @@ def _prints(shingle: int, similarity: float):
                 sets, fps = members(texts[part], shingle)
                 rows = rest.slice(part.start, len(sets))
                 needs = [needed(len(own), similarity) for own in sets]
-                columns = [pa.array(fps.view(np.int64)), pa.array([len(own) for own in sets], pa.int32()), pa.array(needs, pa.int32())]
-                yield pa.record_batch([*rows.columns, *columns], names=[*rows.schema.names, "fp", "size", "need"])
+                bits = parities(sets)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bits.shape[1], pa.int32()), pa.array(bits.ravel()))
+                columns = [pa.array(fps.view(np.int64)), pa.array([len(own) for own in sets], pa.int32()), pa.array(needs, pa.int32()), lists]
+                yield pa.record_batch([*rows.columns, *columns], names=[*rows.schema.names, "fp", "size", "need", "bits"])
 
     return run
 
@@ -282,7 +301,9 @@ def _text_edges(texts: DataFrame, tau: int) -> DataFrame:
     x, y = (reps.select(F.col("fp").alias(f), F.col("rep").alias(r)) for f, r in (("a", "ra"), ("b", "rb")))
     between = found.join(x, "a").join(y, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     inside = texts.join(reps.filter("n > 1"), "fp").filter("text_key <> rep").select(F.col("rep").alias("a"), F.col("text_key").alias("b"))
-    return stage(between.union(inside), "edges")
+    out = stage(between.union(inside), "edges")
+    drop(reps)
+    return out
 
 
 def _meetings(prefixes: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
@@ -297,12 +318,15 @@ def _meetings(prefixes: DataFrame, texts: DataFrame, found: DataFrame) -> DataFr
     roots = found.select(F.xxhash64("node").alias("key"), F.xxhash64("root").alias("root"))
     own = stage(texts.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "own")
     rooted = stage(shared.join(own, "key"), "rooted")
-    mixed = rooted.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("h")
-    rows = stage(rooted.join(stage(mixed, "mixed"), "h"), "rows")
-    drop(shared, own, rooted)
+    drop(shared, own)
+    mixed = stage(rooted.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("h"), "mixed")
+    rows = stage(rooted.join(mixed, "h"), "rows")
+    drop(rooted, mixed)
     sizes = rows.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("others"))
-    main = F.col("root") == F.col("main")
-    return stage(rows.join(stage(sizes, "sizes"), "h").select("h", "key", "size", "need", "root", main.alias("own"), (F.col("others") > FEW).alias("hot")), "meetings")
+    main, sizes = F.col("root") == F.col("main"), stage(sizes, "sizes")
+    out = stage(rows.join(sizes, "h").select("h", "key", "size", "need", "root", main.alias("own"), (F.col("others") > FEW).alias("hot")), "meetings")
+    drop(rows, sizes)
+    return out
 
 
 def _pairs(meetings: DataFrame, similarity: float) -> DataFrame:
@@ -422,7 +446,9 @@ def _bodies(keys: DataFrame, texts: DataFrame, rows: DataFrame) -> DataFrame:
     Here and where documents are dropped, texts are merged with keys at every size, so that plans do not change as tables grow.
     """
     wanted = stage(texts.select("text_key", "first").join(keys, "text_key"), "wanted")
-    return stage(rows.join(wanted.hint("merge"), ["text_key", "first"]).dropDuplicates(["text_key"]).select("text_key", "text"), "bodies")
+    out = stage(rows.join(wanted.hint("merge"), ["text_key", "first"]).dropDuplicates(["text_key"]).select("text_key", "text"), "bodies")
+    drop(wanted)
+    return out
 
 
 def _ends(edges: DataFrame) -> DataFrame:
@@ -446,8 +472,8 @@ def similar(docs: DataFrame, tau: int = 8, shingle: int = 5, similarity: float =
     never = F.lit((1 << 63) - 1)
     body = F.coalesce(docs[text], F.lit(""))
     read = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.md5(body).alias("text_key"), body.alias("text"))
-    prints = stage(read.mapInArrow(_prints(shingle, similarity), "doc_id long, text_key string, fp long, size int, need int"), "fingerprints")
-    texts = stage(prints.groupBy("text_key", "fp", "size", "need").agg(F.min(F.coalesce("doc_id", never)).alias("first")), "texts")
+    prints = stage(read.mapInArrow(_prints(shingle, similarity), "doc_id long, text_key string, fp long, size int, need int, bits array<long>"), "fingerprints")
+    texts = stage(prints.groupBy("text_key", "fp", "size", "need", "bits").agg(F.min(F.coalesce("doc_id", never)).alias("first")), "texts")
     rows = read.select(F.coalesce("doc_id", never).alias("first"), "text", "text_key")
     edges = _text_edges(texts, tau)
     bodies = _bodies(_ends(edges), texts, rows)
@@ -456,8 +482,11 @@ def similar(docs: DataFrame, tau: int = 8, shingle: int = 5, similarity: float =
     prefixes = read.select(F.xxhash64("text_key").alias("key"), "text").mapInArrow(_prefixes(shingle, similarity, _frequent(docs, text, shingle)), "known boolean, h long, key long")
     meetings = _meetings(prefixes, texts.select(F.xxhash64("text_key").alias("key"), "size", "need"), connected_components(checked, "a", "b"))
     named = texts.select("text_key", F.xxhash64("text_key").alias("key"))
-    x, y = (named.select(F.col("key").alias(k), F.col("text_key").alias(t)) for k, t in (("a", "ta"), ("b", "tb")))
-    pairs = stage(stage(_pairs(meetings, similarity), "pairs").join(x, "a").join(y, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")), "pairs")
+    found = stage(_pairs(meetings, similarity), "pairs")
+    x, y = (texts.select(F.xxhash64("text_key").alias(k), *(F.col(c).alias(c + k) for c in ("text_key", "size", "bits"))) for k in "ab")
+    alike = found.join(x, "a").join(y, "b").filter(_alike("a", "b", similarity))
+    pairs = stage(alike.select(F.col("text_keya").alias("a"), F.col("text_keyb").alias("b")), "pairs")
+    drop(found)
     at_hot = meetings.filter("hot").select("key").distinct().join(named, "key").select("text_key")
     bodies = _bodies(_ends(pairs).union(at_hot).distinct(), texts, rows)
     links = _verified(pairs, bodies, shingle, similarity).union(_hot_links(meetings, bodies, shingle, similarity))

@@ -297,3 +297,33 @@ def test_langid_odd_tables(spark):
     for r in langid.predict(df.limit(0), model).collect():
         counts[r.lang_pred] += 1
     assert not counts
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 64, n, np.uint64)) for n in (1, 40, 500, 3000)]
+    sets += [np.unique(np.concatenate([s[: len(s) - len(s) // 10], rng.integers(0, 1 << 64, len(s) // 10, np.uint64)])) for s in sets] + [np.zeros(1, np.uint64)]
+    rows = simhash.parities(sets)
+    assert rows.shape == (len(sets), simhash.PARITIES // 64)
+    for a, x in zip(rows, sets):
+        for b, y in zip(rows, sets):
+            assert np.bitwise_count((a ^ b).view(np.uint64)).sum() <= len(np.setxor1d(x, y))
+
+
+def test_unlike_pairs_go_before_their_texts_are_read(spark, monkeypatch):
+    """Texts that share enough shingles of their prefixes, but are not similar: none of their pairs may reach the check of texts."""
+    rng, seen, real = random.Random(4), [], simhash._verified
+    same = " ".join(rng.choices("abcdefghij", k=40))
+    rows = [(i, same + " " + " ".join(f"w{i}x{j}" for j in range(60))) for i in range(40)]
+    monkeypatch.setattr(simhash, "_verified", lambda edges, *rest: seen.append(edges.count()) or real(edges, *rest))
+    found = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.component_id for r in found}) == 40 and seen[-1] == 0
+
+
+def test_frequent_shingles_are_counted_in_a_share_of_the_table(spark, monkeypatch):
+    """What 30 of 600 texts share is known as frequent, though a sample of SAMPLE texts would not show it."""
+    monkeypatch.setattr(simhash, "SAMPLE", 10)
+    rows = [(f"one two three four p{i % 20}" + f" u{i} v{i} w{i} x{i} y{i}",) for i in range(600)]
+    got = simhash._frequent(spark.createDataFrame(rows, "text string"), "text", 5)
+    shared = {int(simhash.members([f"one two three four p{j}"], 5)[0][0][0]) for j in range(20)}
+    assert len(shared & set(got.tolist())) >= 8
